@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prudence.llm.exact_dedup import exact_dedup
 from prudence.llm.html_text import extract_text
+from prudence.llm.language import identify
 from prudence.llm.packing import pack
 from prudence.llm.token_counts import section_token_counts
 
@@ -20,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -32,7 +37,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op5_html_text, op9_token_counts, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_language_id, op5_html_text, op9_token_counts, op10_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": """
