@@ -119,7 +119,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
             full = min(bins, left[a] // each)
             if full:
                 put(a, full, each, full * each, first, capacity - gap)
-                leave(gap - full * 0 - each * a, first, full)
+                leave(gap - each * a, first, full)
             rest = left[a] if full < bins else 0
             if rest:
                 put(a, 1, rest, rest, first + full, capacity - gap)

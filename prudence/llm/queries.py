@@ -10,6 +10,7 @@ from prudence.llm.exact_dedup import exact_dedup
 from prudence.llm.html_text import extract_text
 from prudence.llm.language import identify
 from prudence.llm.packing import pack
+from prudence.llm.quality import score_quality
 from prudence.llm.token_counts import section_token_counts
 
 
@@ -21,6 +22,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_language_id, op5_html_text, op9_token_counts, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_language_id, op5_html_text, op9_token_counts, op10_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": """
