@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prudence.llm.scratch import stored
+
 WIDTH, THRESHOLD = 5, 0.8
 #: Fingerprints of two sets of similarity 0.8 differ in 10 of 64 bits on average, with a deviation of 3.
 RADIUS = 23
@@ -67,13 +69,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     if not 0 < radius < 64:
         raise ValueError("radius must lie between 0 and 64")
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("w")).distinct().where("size(w) > 0")
-    items = items.withColumn("len", F.size("w")).withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
+    items = stored(items.withColumn("len", F.size("w")).withColumn("h", F.expr("transform(w, x -> xxhash64(x))")), "items")
     lengths = items.agg(F.max("len").alias("m"), F.sort_array(F.collect_set(F.least("len", F.lit(WIDTH)))).alias("widths"), F.sum(F.greatest(F.col("len") - WIDTH + 1, F.lit(1))).alias("n")).first()
     longest, widths, small = lengths["m"] or 1, lengths["widths"] or [WIDTH], (lengths["n"] or 0) <= SMALL_SHINGLES
     hint = F.broadcast if small else (lambda df: df)
 
-    text = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    text = text.select("doc_id", "w", F.expr("transform(w, x -> xxhash64(x))").alias("h"))
+    # arrays that are referred to more than once come out of a generator, below which nothing that reads them is moved
+    text = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(F.array(words(F.col(text_col)))).alias("w"))
+    text = text.select("doc_id", "w", F.explode_outer(F.array(F.expr("transform(w, x -> xxhash64(x))"))).alias("h"))
 
     def windows(width: int) -> DataFrame:
         """Windows at the places that shingles of this width give: doc_id, item_id, start, window."""
@@ -93,8 +96,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
         return placed.select("doc_id", "item_id", "start", F.slice("near", F.col("start") - F.col("base") + 1, F.col("len")).alias("window")).dropDuplicates(["doc_id", "item_id", "start"])
 
     found = reduce(DataFrame.unionByName, [windows(k) for k in widths])
-    found = found.withColumn("sw", F.expr(shingles("window"))).withColumn("hw", F.expr("transform(sw, x -> xxhash64(x))")).withColumn("fw", F.expr(fingerprint("hw")))
-    sides = items.withColumn("si", F.expr(shingles("w"))).withColumn("hi", F.expr("transform(si, x -> xxhash64(x))")).select("item_id", "len", "si", F.expr(fingerprint("hi")).alias("fi"))
+
+    def printed(df: DataFrame, w: str, s: str, f: str, *keep: str) -> DataFrame:
+        df = df.select(*keep, F.explode_outer(F.array(F.expr(shingles(w)))).alias(s))
+        df = df.select(*keep, s, F.explode_outer(F.array(F.expr(f"transform({s}, x -> xxhash64(x))"))).alias("_h"))
+        return df.select(*keep, s, F.explode_outer(F.array(F.expr(fingerprint("_h")))).alias(f))
+
+    found = printed(found, "window", "sw", "fw", "doc_id", "item_id", "start")
+    sides = printed(items, "w", "si", "fi", "item_id", "len")
     left = found.select("doc_id", "item_id", "start", "sw", "fw", F.inline(F.expr(blocks("fw", radius))))
     right = sides.select(F.col("item_id").alias("item"), "len", "si", "fi", F.inline(F.expr(blocks("fi", radius))).alias("bi", "vi"))
     near = left.join(hint(right), (F.col("item_id") == F.col("item")) & (F.col("b") == F.col("bi")) & (F.col("v") == F.col("vi")))

@@ -69,13 +69,14 @@ def license_matches(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     known = sorted({b for _, bigrams in template_rows() for b in bigrams})
     sizes = [n for _, bigrams in template_rows() for n in size_bounds(len(bigrams), threshold)]
     in_known = f"exists(bigrams, b -> b IN ({', '.join(repr(b) for b in known)}))"
+    # a filter is moved below the projections that it reads, which computes them again for every reference; it isn't
+    # moved below a generator, so each array comes out of one
     rows = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(units(F.col(text_col))).alias("unit"))
-    rows = rows.select("doc_id", F.trim(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " ")).alias("unit"))
-    spaces = F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit("")))
-    # a set of bigrams is no larger than the number of spaces; repeated bigrams may make it smaller
-    rows = rows.where(spaces >= min(sizes)).select("doc_id", "unit", F.split("unit", " ").alias("w"))
-    bigrams = F.array_distinct(F.expr("if(size(w) > 1, transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i])), array())"))
-    rows = rows.select("doc_id", "unit", bigrams.alias("bigrams")).where(F.size("bigrams").between(min(sizes), max(sizes)) & F.expr(in_known))
+    plain = F.trim(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " "))
+    rows = rows.select("doc_id", F.explode_outer(F.array(F.split(plain, " "))).alias("w")).where(F.size("w") > min(sizes))
+    bigrams = F.array_distinct(F.expr("transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))"))
+    rows = rows.select("doc_id", "w", F.explode_outer(F.array(bigrams)).alias("bigrams")).where(F.size("bigrams").between(min(sizes), max(sizes)) & F.expr(in_known))
+    rows = rows.select("doc_id", F.array_join("w", " ").alias("unit"), "bigrams")
     both = rows.withColumn("n", F.size("bigrams")).join(F.broadcast(templates(spark, threshold)), "n")
     dice = 2 * F.size(F.array_intersect("bigrams", "template")) / (F.size("bigrams") + F.size("template"))
     return both.select("doc_id", "unit", "licence", dice.alias("dice")).where(F.col("dice") >= threshold)
