@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prudence.llm import licenses
+from prudence.llm import jaccard_join, licenses
 from prudence.llm.decontamination import contamination
 from prudence.llm.exact_dedup import exact_dedup
 from prudence.llm.html_text import extract_text
@@ -49,6 +49,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_token_counts(table(spark, sf_dir, "documents"))
 
@@ -57,10 +61,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_language_id, op4_decontamination, op5_html_text, op6_licenses, op7_toxicity, op9_token_counts, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_language_id, op4_decontamination, op5_html_text, op6_licenses, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op6_licenses": licenses.oracle(),
+    "op8_jaccard_join": jaccard_join.oracle(),
     "op10_exact_dedup": """
         WITH t AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
