@@ -69,12 +69,10 @@ def drop_copies(docs: DataFrame, **how) -> DataFrame:
     Rows repeated with the same id and text leave one row. Rows of one id with different texts are told apart by digest.
     """
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    kept = exact_dedup(docs, **how).where("kept")
-    repeated = not kept.where("group_size > 1").groupBy("text_sha256").count().where("count > 1").isEmpty()
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_digest")).distinct()
-    digest = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    out = docs.withColumn("_digest_of", digest)
-    out = out.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_digest_of") == F.col("_digest")), "left_semi")
-    if repeated:
-        out = out.dropDuplicates([id_col, "_digest_of"])
+    marked = stored(exact_dedup(docs, **how), "marked")
+    gone = marked.where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_digest")).distinct()
+    out = docs.withColumn("_digest", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    out = out.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_digest") == F.col("_gone_digest")), "left_anti")
+    if not marked.where("kept AND group_size > 1").groupBy("text_sha256").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "_digest"])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

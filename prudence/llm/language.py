@@ -181,6 +181,24 @@ def training_chains(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     return [(r["lang"], r["chain"]) for r in rows if r["chain"]]
 
 
+def predicted(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, list[str]]:
+    """Language, score and mix of each text of a column."""
+    n = len(texts)
+    pred, score, mix = [UNDETERMINED] * n, np.zeros(n), ["{}"] * n
+    for at, mass, counted in model.documents(texts) if model else ():
+        for row in np.flatnonzero(counted > 0):
+            share = mass[row] / counted[row]
+            best = int(share.argmax())
+            pred[at + row], score[at + row] = model.labels[best], min(1.0, float(share[best]))
+            mix[at + row] = json.dumps({lang: round(float(s), 6) for lang, s in zip(model.labels, share, strict=True)})
+    return pred, score, mix
+
+
+def trained(docs: DataFrame, id_col: str, text_col: str, lang_col: str):
+    samples = training_chains(docs, id_col, text_col, lang_col)
+    return docs.sparkSession.sparkContext.broadcast(train(samples) if samples else None)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Predict the language of every whole text, learning from lang where crc32(id) mod 4 is not 2.
 
@@ -189,30 +207,25 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     can be learned from. Ties go to the first language by name. Repeated rows are labelled alike, an empty table gives
     an empty table, and further columns are ignored.
     """
-    return identified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), docs.columns, keep=False)
+    shared = trained(docs, id_col, text_col, lang_col)
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred, score, mix = predicted(shared.value, batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score), pa.array(mix, pa.string())], ["doc_id", "held_out", "lang_pred", "score", "mix"])
 
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(labelled, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double, mix string")
 
-def identified(docs: DataFrame, columns: list[str], keep: bool) -> DataFrame:
-    """Labels of docs (doc_id, text, lang, ...); with keep, beside all its columns."""
-    spark = docs.sparkSession
-    samples = training_chains(docs, "doc_id", "text", "lang")
-    shared = spark.sparkContext.broadcast(train(samples) if samples else None)
 
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+def keep_identified(docs: DataFrame, least_score: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose text has a language: not `und`, and at least least_score of its posterior mass on one language. Columns stay as they are."""
+    shared = trained(docs, id_col, text_col, lang_col)
+    place = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            pred, score, mix = [UNDETERMINED] * n, np.zeros(n), ["{}"] * n
-            for at, mass, counted in model.documents(batch.column("text")) if model else ():
-                for row in np.flatnonzero(counted > 0):
-                    share = mass[row] / counted[row]
-                    best = int(share.argmax())
-                    pred[at + row], score[at + row] = model.labels[best], min(1.0, float(share[best]))
-                    mix[at + row] = json.dumps({lang: round(float(s), 6) for lang, s in zip(model.labels, share, strict=True)})
-            shown = [batch.column(c) for c in out_columns]
-            yield pa.RecordBatch.from_arrays([*shown, pa.array(pred, pa.string()), pa.array(score), pa.array(mix, pa.string())], [*out_columns, "lang_pred", "score", "mix"])
-
-    rows = docs.withColumn("held_out", held_out("doc_id"))
-    out_columns = [*docs.columns, "held_out"] if keep else ["doc_id", "held_out"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in out_columns) + ", lang_pred string, score double, mix string"
-    return (rows if keep else rows.select("doc_id", "held_out", "text")).mapInArrow(labelled, schema)
+            pred, score, _ = predicted(shared.value, batch.column(place))
+            yield batch.filter(pa.array([p != UNDETERMINED and s >= least_score for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
