@@ -6,7 +6,7 @@ three F1 functions differ in what empty token lists give and are kept apart on p
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +32,11 @@ CLAIM_PREFIXES = ("statement:", "claim:", "declarative statement:", "declarative
 NEGATIONS = ("not", "no", "never", "neither", "nor", "without", "cannot")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row however often the body refers to it, inside of lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -74,25 +79,34 @@ def content_words(text: Column) -> Column:
     return F.array_distinct(F.filter(tokens(normalize_plain(text)), lambda t: ~t.isin(*EVIDENCE_STOPWORDS) & (F.length(t) > 1)))
 
 
-def occurrences(words: Column, word: Column) -> Column:
-    return F.size(F.filter(words, lambda w: w == word))
+def numbered(words: Column) -> Column:
+    """Words with the number of each among its equals, which makes a multiset a set."""
+    return let(F.sort_array(words), lambda s: F.transform(s, lambda w, i: F.concat_ws(" ", w, (i - F.array_position(s, w)).cast("string"))))
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda total, w: total + F.least(occurrences(a, w), occurrences(b, w)))
+    """Size of the multiset intersection of two arrays of words without spaces."""
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
+
+
+def _f1(a: Column, b: Column, both_empty: float) -> Column:
+    """Harmonic mean of precision and recall of two token lists; 0 without overlap."""
 
+    def score(shared: Column) -> Column:
+        precision, recall = shared / F.size(a), shared / F.size(b)
+        return F.when(shared == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
 
-def _f1(shared: Column, a: Column, b: Column) -> Column:
-    """Harmonic mean of precision and recall; 0 without overlap."""
-    precision, recall = shared / F.size(a), shared / F.size(b)
-    return F.when(shared == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+    some = (F.size(a) > 0) & (F.size(b) > 0)
+    return F.when(some, let(multiset_overlap(a, b), score)).when(F.size(a) + F.size(b) == 0, both_empty).otherwise(0.0)
+
+
+def _pair_f1(prediction: Column, reference: Column, both_empty: float) -> Column:
+    return let(tokens(normalize_answer(prediction)), lambda a: let(tokens(normalize_answer(reference)), lambda b: _f1(a, b, both_empty)))
 
 
 def f1_or_zero(prediction: Column, reference: Column) -> Column:
     """Token F1 of two texts; 0 if either has no tokens."""
-    a, b = tokens(normalize_answer(prediction)), tokens(normalize_answer(reference))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(_f1(multiset_overlap(a, b), a, b))
+    return _pair_f1(prediction, reference, 0.0)
 
 
 def overlap_f1(a: Column, b: Column) -> Column:
@@ -102,39 +116,48 @@ def overlap_f1(a: Column, b: Column) -> Column:
 
 def f1_pair(prediction: Column, reference: Column) -> Column:
     """Token F1 of two texts: 1 if both have no tokens, 0 if one has none."""
-    a, b = tokens(normalize_answer(prediction)), tokens(normalize_answer(reference))
-    none = F.size(a) + F.size(b) == 0
-    return F.when(none, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(_f1(multiset_overlap(a, b), a, b))
+    return _pair_f1(prediction, reference, 1.0)
 
 
 def exact_match(prediction: Column, references: Column) -> Column:
     """1.0 if a reference equals the prediction after normalisation, 0.0 if none does or there is none."""
-    return F.coalesce(F.exists(references, lambda r: normalize_answer(r) == normalize_answer(prediction)), F.lit(False)).cast("double")
+    return let(normalize_answer(prediction), lambda p: F.coalesce(F.exists(references, lambda r: normalize_answer(r) == p), F.lit(False)).cast("double"))
+
+
+def _best(prediction: Column, references: Column, both_empty: float) -> Column:
+    score = let(tokens(normalize_answer(prediction)), lambda a: F.array_max(F.transform(references, lambda r: let(tokens(normalize_answer(r)), lambda b: _f1(a, b, both_empty)))))
+    return F.coalesce(score, F.lit(0.0))
 
 
 def best_f1(prediction: Column, references: Column) -> Column:
     """Best token F1 over the references; 0 without references or without tokens of the prediction."""
-    return F.coalesce(F.array_max(F.transform(references, lambda r: f1_or_zero(prediction, r))), F.lit(0.0))
+    return _best(prediction, references, 0.0)
 
 
 def best_f1_pair(prediction: Column, references: Column, drop_empty: bool = False) -> Column:
     """Best pairwise F1; with drop_empty, references that normalise to nothing are left out."""
-    used = F.filter(references, lambda r: normalize_answer(r) != "") if drop_empty else references
-    return F.coalesce(F.array_max(F.transform(used, lambda r: f1_pair(prediction, r))), F.lit(0.0))
+    return _best(prediction, F.filter(references, lambda r: normalize_answer(r) != "") if drop_empty else references, 1.0)
+
+
+def _share(a: Column, b: Column, empty: Column | float) -> Column:
+    return F.when(F.size(a) > 0, multiset_overlap(a, b) / F.size(a)).otherwise(empty)
 
 
 def token_coverage(source: Column, target: Column) -> Column:
     """Share of the source's tokens found in the target, as multisets; stop words count only if there is nothing else; 1 without tokens."""
-    a, b = tokenize(source, True), tokenize(target, True)
-    all_a, all_b = tokenize(source), tokenize(target)
-    share = F.when(F.size(a) > 0, multiset_overlap(a, b) / F.size(a))
-    return share.when(F.size(all_a) > 0, multiset_overlap(all_a, all_b) / F.size(all_a)).otherwise(1.0)
+
+    def weighty(words: Column) -> Column:
+        return F.filter(words, lambda t: ~t.isin(*CLAIM_STOPWORDS))
+
+    def score(a: Column, b: Column) -> Column:
+        return let(weighty(a), lambda x: F.when(F.size(x) > 0, _share(x, weighty(b), 1.0)).otherwise(_share(a, b, 1.0)))
+
+    return let(tokenize(source), lambda a: let(tokenize(target), lambda b: score(a, b)))
 
 
 def copy_ratio(question: Column, claim: Column) -> Column:
     """Share of the question's tokens found in the claim, as multisets; 0 without tokens."""
-    a, b = tokenize(question), tokenize(claim)
-    return F.when(F.size(a) > 0, multiset_overlap(a, b) / F.size(a)).otherwise(0.0)
+    return let(tokenize(question), lambda a: let(tokenize(claim), lambda b: _share(a, b, 0.0)))
 
 
 def looks_like_question(claim: Column) -> Column:
@@ -150,8 +173,7 @@ def numbers(text: Column) -> Column:
 
 def numbers_preserved(answer: Column, claim: Column) -> Column:
     """Every number of the answer occurs in the claim at least as often."""
-    a, b = numbers(answer), numbers(claim)
-    return F.forall(F.array_distinct(a), lambda n: occurrences(b, n) >= occurrences(a, n))
+    return let(numbers(answer), lambda a: let(numbers(claim), lambda b: multiset_overlap(a, b) == F.size(a)))
 
 
 def negation_preserved(question: Column, answer: Column, claim: Column) -> Column:

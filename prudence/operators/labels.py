@@ -17,15 +17,17 @@ DECISIONS, SUPPORT = ("ANSWER", "VERIFY", "ABSTAIN"), ("SUPPORTED", "WEAK", "UNS
 def answer_context_score(answer: Column, context: Column) -> Column:
     """1 if the answer stands in the context, else the share of its content words that do."""
     a, c = T.normalize_plain(answer), T.normalize_plain(context)
-    words = T.content_words(answer)
-    share = F.size(F.array_intersect(words, T.content_words(context))) / F.size(words)
-    return F.when(a == "", 0.0).when(F.contains(c, a), 1.0).when(F.size(words) == 0, 0.0).otherwise(share)
+    return F.when(a == "", 0.0).when(F.contains(c, a), 1.0).otherwise(_found(answer, context))
+
+
+def _found(text: Column, where: Column) -> Column:
+    """Share of a text's content words that stand in another; 0 without content words."""
+    return T.let(T.content_words(text), lambda w: F.when(F.size(w) == 0, 0.0).otherwise(F.size(F.array_intersect(w, T.content_words(where))) / F.size(w)))
 
 
 def question_overlap(question: Column, evidence: Column) -> Column:
     """Share of the question's content words that stand in the evidence; 0 without content words."""
-    words = T.content_words(question)
-    return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.array_intersect(words, T.content_words(evidence))) / F.size(words))
+    return _found(question, evidence)
 
 
 def combined_evidence(context_score: Column, overlap: Column) -> Column:

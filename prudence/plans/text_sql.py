@@ -38,13 +38,12 @@ def shared(a: str, b: str) -> str:
 
 def f1(x: str, y: str, both_empty: int) -> str:
     """Token F1 of two texts; both_empty is what two texts without tokens give."""
-    return f1_of(answer_tokens(x), answer_tokens(y), both_empty)
+    return f"list_transform([{{'a': {answer_tokens(x)}, 'b': {answer_tokens(y)}}}], lambda p: {f1_of('p.a', 'p.b', both_empty)})[1]"
 
 
 def f1_of(a: str, b: str, both_empty: int) -> str:
-    s = shared(a, b)
-    score = f"2 * ({s} / len({a})) * ({s} / len({b})) / ({s} / len({a}) + {s} / len({b}))"
-    return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN {both_empty}e0 WHEN len({a}) = 0 OR len({b}) = 0 OR {s} = 0 THEN 0e0 ELSE {score} END"
+    score = f"CASE WHEN s = 0 THEN 0e0 ELSE 2 * (s / len({a})) * (s / len({b})) / (s / len({a}) + s / len({b})) END"
+    return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN {both_empty}e0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0e0 ELSE list_transform([{shared(a, b)}], lambda s: {score})[1] END"
 
 
 def best_f1(x: str, refs: str, both_empty: int = 0) -> str:
