@@ -87,9 +87,10 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     for x, y in pairs:
         both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
         both = average_rank(average_rank(both, "x", "rx"), "y", "ry")
-        one = both.agg(F.count("*").alias("n"), *(F.stddev_pop(v).alias(f"_{v}") for v in ("x", "y")), F.corr("x", "y").alias("_p"), F.corr("rx", "ry").alias("_s"))
+        one = both.agg(F.count("*").alias("n"), *(F.stddev_pop(v).alias(f"_{v}") for v in ("x", "y", "rx", "ry")), F.covar_pop("x", "y").alias("_p"), F.covar_pop("rx", "ry").alias("_s"))
         some = (F.col("n") > 1) & (F.col("_x") * F.col("_y") > 1e-15)
-        one = one.select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", F.when(some, F.col("_p")).alias("pearson"), F.when(some, F.col("_s")).alias("spearman"))
+        pearson, spearman = (F.when(some, F.col(c) / (F.col(a) * F.col(b))) for c, a, b in (("_p", "_x", "_y"), ("_s", "_rx", "_ry")))
+        one = one.select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", pearson.alias("pearson"), spearman.alias("spearman"))
         out = one if out is None else out.unionByName(one)
     return out
 
