@@ -30,8 +30,8 @@ def merged_runs(rows: DataFrame, runs: int = 64, fan_in: int = 8, keep: str = "l
     last k digits to base fan_in (a binomial tree of higher degree). The struct that is kept makes Spark aggregate
     by sorting, so every merge reads sorted runs. Equal means equal digest, length and second hash.
     """
-    best = F.max if keep == "largest" else F.min
-    level = rows.select(*KEY, F.struct(F.col("doc_id")).alias("kept"), F.lit(1).cast("long").alias("n"), F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run"))
+    best, known = (F.max, F.col("doc_id").isNotNull()) if keep == "largest" else (F.min, F.col("doc_id").isNull())
+    level = rows.select(*KEY, F.struct(known.alias("known"), F.col("doc_id")).alias("kept"), F.lit(1).cast("long").alias("n"), F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run"))
     left = runs
     while True:
         level = level.groupBy(*KEY, "run").agg(best("kept").alias("kept"), F.sum("n").alias("n"))
