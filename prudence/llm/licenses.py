@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +47,8 @@ def template_rows() -> list[tuple[str, list[str]]]:
 
 def size_bounds(n: int, threshold: float) -> range:
     """Numbers of bigrams that a set may have whose Dice coefficient with a set of n can reach the threshold."""
-    return range(max(1, int(-(-n * threshold // (2 - threshold)))), int(n * (2 - threshold) / threshold) + 1)
+    low, high = n * threshold / (2 - threshold), n * (2 - threshold) / threshold
+    return range(max(1, math.ceil(low - 1e-9)), math.floor(high + 1e-9) + 1)
 
 
 def templates(spark: SparkSession, threshold: float) -> DataFrame:
