@@ -29,6 +29,7 @@ EVIDENCE_STOPWORDS = (
 #: Beginnings of questions, beginnings that generated claims lose, words that negate.
 QUESTION_PREFIXES = ("what", "who", "when", "where", "why", "how", "which", "whose", "whom", "is", "are", "was", "were", "do", "does", "did", "can", "could", "will", "would", "should", "has", "have", "had")
 CLAIM_PREFIXES = ("statement:", "claim:", "declarative statement:", "declarative claim:", "final statement:", "answer:")
+CLAIM_PREFIXES_V1 = ("statement:", "claim:", "declarative statement:", "answer:")
 NEGATIONS = ("not", "no", "never", "neither", "nor", "without", "cannot")
 
 
@@ -183,10 +184,10 @@ def negation_preserved(question: Column, answer: Column, claim: Column) -> Colum
     return ~F.arrays_overlap(source, words) | F.arrays_overlap(tokenize(claim), words)
 
 
-def normalise_claim(claim: Column) -> Column:
+def normalise_claim(claim: Column, prefixes: Iterable[str] = CLAIM_PREFIXES) -> Column:
     """A generated claim without its label and quotes, ending in . ! or ?"""
     plain = clean_text(claim)
-    plain = F.trim(F.regexp_replace(plain, f"(?i)^({'|'.join(CLAIM_PREFIXES)})", ""))
+    plain = F.trim(F.regexp_replace(plain, f"(?i)^({'|'.join(prefixes)})", ""))
     plain = F.btrim(plain, F.lit("\"' "))
     return F.when((plain == "") | plain.rlike(r"[.!?]$"), plain).otherwise(F.concat(plain, F.lit(".")))
 

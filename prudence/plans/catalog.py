@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prudence.functions import text as T
 from prudence.functions.values import gated, geometric_mean, sigmoid, signed_to_unit, weighted_geometric_mean
-from prudence.operators import calibration, correctness, diagnostics, inference, labels, metrics, ranking, resample, validate
+from prudence.operators import calibration, correctness, diagnostics, inference, labels, metrics, ranking, reports, resample, validate
 from prudence.plans import surrogate as S
 from prudence.plans import text_sql as X
 from prudence.streaming.counts import windowed_metrics
@@ -685,3 +685,40 @@ def logistic_loss(spark, sf_dir):
     df = validate.require(S.events(spark, sf_dir), validate.probability("confidence"))
     x = F.expr(_MARGIN)
     return df.select("row_idx", sigmoid(x).alias("p"), logit_loss(x, F.col("correct").cast("double")).alias("loss"))
+
+
+# --- reports ---------------------------------------------------------------------------------------------------------
+
+_FINAL = "CASE row_idx % 3 WHEN 0 THEN 'ANSWER' WHEN 1 THEN 'ABSTAIN' ELSE 'VERIFY' END"
+
+
+@query(f"""{WITH_R}, f AS (SELECT row_idx, is_answerable, {_FINAL} AS d, CASE WHEN is_answerable THEN {X.exact_match('answer', 'refs')} ELSE 0e0 END AS em, CASE WHEN is_answerable THEN {X.best_f1('answer', 'refs', 1)} ELSE 0e0 END AS f1 FROM r), g AS (SELECT *, is_answerable AND (em = 1 OR f1 >= 0.8) AS correct, d AS final_decision FROM f)
+    SELECT row_idx, {X.error_type('is_answerable', 'em', 'f1')} AS answer_error_type, correct AS prediction_correct, {_CATEGORY} AS category FROM g""")
+def error_cases(spark, sf_dir):
+    df = answered_pairs(spark, sf_dir).withColumn("final_decision", F.expr(_FINAL))
+    return reports.error_cases(df).select("row_idx", "answer_error_type", "prediction_correct", "category")
+
+
+@query(f"{_TASK}, b AS ({_selective('')}) SELECT 'pairs' AS system, 'unknown' AS model, 's' || (SELECT min(row_idx) FROM k) AS split, * FROM b")
+def baseline_summary(spark, sf_dir):
+    df = correctness.task_correctness(answered_pairs(spark, sf_dir)).withColumn("system", F.lit("pairs")).withColumn("split", F.concat(F.lit("s"), F.col("row_idx").cast("string")))
+    return reports.baseline_summary(df)
+
+
+def _lookup(score: str, name: str) -> str:
+    return f"""{name} AS (SELECT target_coverage, coverage, risk FROM (SELECT answered / total AS coverage, CASE WHEN answered > 0 THEN (answered - k) / answered ELSE 0.0 END AS risk FROM ({_SWEEP.replace('confidence', score)})), {_values(TARGETS, 'target_coverage')} WHERE coverage > 0
+        QUALIFY row_number() OVER (PARTITION BY target_coverage ORDER BY abs(coverage - target_coverage), coverage DESC, risk) = 1)"""
+
+
+@query(f"""WITH {S.WITH_E}, {_lookup('confidence', 'a')}, {_lookup('lexical', 'b')} SELECT a.target_coverage, round(a.coverage, 9) AS confidence_coverage, round(a.risk, 9) AS confidence_risk, round(b.coverage, 9) AS lexical_coverage, round(b.risk, 9) AS lexical_risk, round(b.coverage - a.coverage, 9) AS coverage_difference, round(b.risk - a.risk, 9) AS risk_difference
+    FROM a JOIN b ON a.target_coverage = b.target_coverage""")
+def curves_side_by_side(spark, sf_dir):
+    df = S.events(spark, sf_dir)
+    a, b = (ranking.threshold_sweep(df, THRESHOLDS, c).select("coverage", F.col("selective_risk").alias("risk")) for c in ("confidence", "lexical"))
+    return reports.side_by_side(a, b, TARGETS, ("confidence", "lexical"))
+
+
+@query(f"WITH {S.WITH_P} SELECT 'case_' || row_idx AS case_id, row_idx, CASE WHEN is_answerable THEN '' ELSE '[UNANSWERABLE]' END AS \"references\", cast(is_answerable AS varchar) AS is_answerable, cast(claim_valid AS varchar) AS claim_valid, format('{{:.6f}}', entailment) AS entailment_probability, '' AS error_type FROM p WHERE NOT correct AND entailment >= 0.8")
+def investigation_rows(spark, sf_dir):
+    rows = reports.annotation_template(reports.investigation_rows(S.labels(spark, sf_dir)))
+    return rows.select("case_id", "row_idx", "references", "is_answerable", "claim_valid", "entailment_probability", "error_type")
