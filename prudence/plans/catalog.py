@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prudence.functions import text as T
 from prudence.functions.values import gated, geometric_mean, sigmoid, signed_to_unit, weighted_geometric_mean
-from prudence.operators import calibration, correctness, diagnostics, inference, labels, metrics, ranking, reports, resample, validate
+from prudence.operators import calibration, correctness, diagnostics, inference, labels, lookup, metrics, ranking, reports, resample, validate
 from prudence.plans import surrogate as S
 from prudence.plans import text_sql as X
 from prudence.streaming.counts import windowed_metrics
@@ -299,10 +299,10 @@ def qa_agreement(spark, sf_dir):
     s AS (SELECT *, {X.context_score('answer', 'context')} AS cs, {X.overlap('answer', 'evidence')} AS qo FROM w)
     SELECT item_id, doc_id, round(cs, 9) AS answer_context_score, round(qo, 9) AS question_evidence_overlap, round(0.65 * cs + 0.35 * qo, 9) AS evidence_score, CASE WHEN cs >= 1 AND qo >= 0.45 AND 0.65 * cs + 0.35 * qo >= 0.75 THEN 'SUPPORTED' WHEN cs >= 0.5 AND 0.65 * cs + 0.35 * qo >= 0.4 THEN 'WEAK' ELSE 'UNSUPPORTED' END AS evidence_support FROM s""")
 def lexical_evidence(spark, sf_dir):
-    """Benchmark items as answers (and questions) and the documents that hold them as contexts. The items, a small table, are broadcast; each document is read once."""
+    """Benchmark items as answers (and questions) and the documents that hold them as contexts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("context"))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("prediction_text"), F.col("text").alias("question"))
-    held = docs.join(F.broadcast(items), F.contains(F.lower("context"), F.lower(F.trim("prediction_text"))))
+    held = lookup.containing(docs, items, text="prediction_text")
     return labels.lexical_evidence(held).select("item_id", "doc_id", "answer_context_score", "question_evidence_overlap", "evidence_score", "evidence_support")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prudence.functions.values import signed_to_unit
-from prudence.operators import calibration, correctness, diagnostics, inference, labels, metrics, ranking, resample, validate
+from prudence.operators import calibration, correctness, diagnostics, inference, labels, lookup, metrics, ranking, resample, validate
 
 
 def predictions(spark, rows):
@@ -239,3 +239,10 @@ def test_self_verification_skips_empty_answers(spark):
 def test_chunk_confidence(spark):
     df = spark.createDataFrame([("a", 3.0, 1.0), ("a", 5.0, 2.0)], "id string, answer_span_logit double, null_logit double")
     assert inference.chunk_confidence(df).first().answer_null_margin == 4.0
+
+
+def test_containing_equals_search(spark):
+    docs = spark.createDataFrame([(1, "One two THREE four five six"), (2, "xone two three four fivey"), (3, "a b"), (4, ""), (5, None), (6, "one two three")], "doc_id int, context string")
+    items = spark.createDataFrame([(1, "one two three four five"), (2, "two"), (3, " "), (4, None), (5, "B")], "item_id int, text string")
+    got = sorted((r.doc_id, r.item_id) for r in lookup.containing(docs, items).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 5), (6, 2)]
