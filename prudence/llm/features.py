@@ -43,14 +43,14 @@ class Words:
         self.row = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
 
 
-def slices(texts: pa.Array):
-    """Yield (first row, part) of a string column in slices of bounded size, nulls as empty texts."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES):
+    """Yield (first row, part) of a string column in slices of at most so many bytes, or one text; nulls as empty texts."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
         base = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, base + SLICE_BYTES)))
+        end = max(at + 1, int(np.searchsorted(sizes, base + most)))
         yield at, texts.slice(at, end - at)
         at = end
 

@@ -20,6 +20,8 @@ from prudence.llm.features import Grams, Words, held_out, slices
 TABLE = 1 << 17
 #: Words of a chain. Longer texts are chains end to end, all of whose words count.
 CHAIN = 32
+#: Bytes of text that are labelled at a time; a byte takes about 100 bytes of memory.
+SLICE_BYTES = 1_500_000
 #: Bound of the training sample: documents, and chains of each, spread over its whole text.
 TRAIN_DOCS, TRAIN_CHAINS = 4000, 2
 STEPS, RATE, L2 = 30, 0.15, 1e-4
@@ -77,7 +79,7 @@ class Model:
     def documents(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, posterior mass by language, number of words with letters) for slices of a column."""
         k = len(self.labels)
-        for at, part in slices(texts):
+        for at, part in slices(texts, SLICE_BYTES):
             w = Words(part)
             n = len(part)
             mass, counted = np.zeros((n, k)), np.zeros(n)
