@@ -222,7 +222,7 @@ def parse_reasons(text: Column) -> Column:
     """Reasons from a JSON list or a text parted by commas, semicolons or bars; empty parts are dropped."""
     listed = F.from_json(text, "array<string>")
     parts = F.when(text.startswith("["), listed).otherwise(F.split(text, r"[,;|]"))
-    return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), F.trim), lambda r: r != "")
+    return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda r: F.trim(r)), lambda r: r != "")
 
 
 def markdown_cell(text: Column, limit: int) -> Column:
