@@ -1,10 +1,11 @@
 """Benchmark decontamination, with DataFrame functions only.
 
 Windows of a document are as long as a benchmark item and start where a shared five-word shingle puts the item's
-beginning: a window without a shared shingle has similarity 0, so nothing over the threshold is left out. Windows and
-items have 64-bit SimHash fingerprints; a multi-index of radius + 1 blocks finds every pair within the radius, since
-that many differing bits can't touch all blocks. Candidates are verified by the exact weighted Jaccard similarity of
-their shingles (weight: how often a shingle occurs).
+beginning. A window without a shared shingle has similarity 0. One that starts elsewhere can only be better where
+several edits balance out, such as a changed beginning and words put in later; such a window may be missed. Windows
+and items have 64-bit SimHash fingerprints; a multi-index of radius + 1 blocks finds every pair within the radius,
+since that many differing bits can't touch all blocks. Candidates are verified by the exact weighted Jaccard
+similarity of their shingles (weight: how often a shingle occurs).
 """
 
 from __future__ import annotations

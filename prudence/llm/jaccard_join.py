@@ -5,7 +5,8 @@ A run samples shared tokens: with one hash function a set of n shingles takes th
 so two sets of similarity `threshold` or more share a taken one with probability 0.63 or more. Sets that took the same
 token make a bucket. Small buckets are compared by brute force. A large one is split again by the tokens of the next
 function, up to `depth` times; one that doesn't shrink (its sets are near copies of each other) is compared in blocks.
-Runs are repeated until a pair at the threshold is missed with probability 1 - recall at most.
+Runs are repeated until a pair at the threshold is missed with probability 1 - recall at most, if its buckets are not
+split; a pair all of whose common tokens are frequent must agree on each level, and is missed more often.
 
 Every similarity is computed from the whole shingle sets. A pair that meets in several buckets counts in the one with
 the smallest number among those that both are in, so that pairs needn't be gathered anywhere to be counted once:
@@ -34,10 +35,9 @@ DEPTH = 3
 STUCK = 0.5
 #: Columns of a dense matrix of shingles at a time.
 COLUMNS = 4096
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def runs_for(recall: float, depth: int = 1) -> int:
+def runs_for(recall: float) -> int:
     """Runs after which a pair at the threshold, taken together with probability 1 - 1/e in a run, is missed with probability 1 - recall at most."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 / math.e)))
 

@@ -25,7 +25,7 @@ SLICE_BYTES = 1_500_000
 #: Bound of the training sample: documents, and chains of each, spread over its whole text.
 TRAIN_DOCS, TRAIN_CHAINS = 4000, 2
 STEPS, RATE, L2 = 30, 0.15, 1e-4
-LETTER_GRAMS, WHOLE_WORD = (2, 3, 4), 9
+LETTER_GRAMS = (2, 3, 4)
 UNDETERMINED = "und"
 
 
@@ -100,7 +100,7 @@ class Model:
 
 
 def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
-    """Fit on (language, chain of words). Half as many chains again are spliced from two languages, so that switches are learned too."""
+    """Fit on (language, chain of words). Half as many chains again are spliced from two texts, so that switches are learned too."""
     labels = sorted({lang for lang, _ in samples})
     k = len(labels)
     at = {lang: i for i, lang in enumerate(labels)}
@@ -113,7 +113,7 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
         chains.append(tuple(np.concatenate([a[:cut], b[: CHAIN - cut]]) for a, b in zip(chains[i], chains[j], strict=True)))
     words, index = np.unique(np.concatenate([c[0] for c in chains]).astype(str) if chains else np.zeros(0, str), return_inverse=True)
     gold = np.concatenate([c[1] for c in chains]) if chains else np.zeros(0, np.int64)
-    # lexicon: words that were seen twice or more, and in one language only
+    # lexicon: words that were seen three times or more, nine in ten of them in one language
     shown = Grams(words.tolist()).shown
     seen = np.zeros((len(words), k))
     np.add.at(seen, (index, gold), 1)
@@ -130,8 +130,6 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
     sizes = np.array([len(c[0]) for c in chains], np.int64)
     n = len(chains)
     place = np.arange(len(index)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(np.arange(n) * CHAIN, sizes)
-    real = np.zeros(n * CHAIN, bool)
-    real[place] = True
     gold_pairs = np.zeros((k, k))
     if len(gold) > 1:
         inner = place[1:] == place[:-1] + 1
