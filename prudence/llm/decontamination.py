@@ -1,8 +1,9 @@
 """Benchmark decontamination, with DataFrame functions only.
 
-Windows of a document are as long as a benchmark item and start where a shared five-word shingle puts the item's
-beginning. A window without a shared shingle has similarity 0. One that starts elsewhere can only be better where
-several edits balance out, such as a changed beginning and words put in later; such a window may be missed. Windows
+Windows of a document are as long as a benchmark item. Moving a window on by a word can only add a common shingle if
+the one that enters is one of the item's, so the first best window has such a shingle at its end or starts the text.
+Only those windows are looked at, and of them those in which enough of the benchmark's shingles lie to reach the
+threshold; no other window can be better, wherever the edits are. Windows
 and items have 64-bit SimHash fingerprints; a multi-index of radius + 1 blocks finds every pair within the radius,
 since that many differing bits can't touch all blocks. Candidates are verified by the exact weighted Jaccard
 similarity of their shingles (weight: how often a shingle occurs).
@@ -65,12 +66,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     Returns one row per document and item whose best window has at least the threshold: doc_id, item_id, similarity,
     start_word, n_words, hamming. Windows of one document, item and similarity: the first counts. Null and empty texts
     and items have no words and match nothing. Items of fewer than five words are one shingle. Repeated rows count
-    once; empty tables give an empty table; further columns are ignored.
+    once; of several texts with one id the best window counts; empty tables give an empty table; further columns are ignored.
     """
     if not 0 < radius < 64:
         raise ValueError("radius must lie between 0 and 64")
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("w")).distinct().where("size(w) > 0")
-    items = stored(items.withColumn("len", F.size("w")).withColumn("h", F.expr("transform(w, x -> xxhash64(x))")), "items")
+    items = items.withColumn("len", F.size("w")).withColumn("h", F.expr("transform(w, x -> xxhash64(x))")).withColumn("key", F.xxhash64("item_id", "w"))
+    items = stored(items, "items")
     lengths = items.agg(F.max("len").alias("m"), F.sort_array(F.collect_set(F.least("len", F.lit(WIDTH)))).alias("widths"), F.sum(F.greatest(F.col("len") - WIDTH + 1, F.lit(1))).alias("n")).first()
     longest, widths, small = lengths["m"] or 1, lengths["widths"] or [WIDTH], (lengths["n"] or 0) <= SMALL_SHINGLES
     hint = F.broadcast if small else (lambda df: df)
@@ -80,21 +82,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     text = text.select("doc_id", "w", F.explode_outer(F.array(F.expr("transform(w, x -> xxhash64(x))"))).alias("h"))
 
     def windows(width: int) -> DataFrame:
-        """Windows at the places that shingles of this width give: doc_id, item_id, start, window."""
+        """Windows for the items whose shingles have this width: doc_id, key, start, window."""
         own = items.where(F.least("len", F.lit(WIDTH)) == width)
-        known = own.select("item_id", "len", F.posexplode(F.expr(f"transform(sequence(0, len - {width}), i -> {hashed('i', width)})")).alias("p", "s"))
+        known = own.select("key", "len", F.explode(F.expr(f"array_distinct(transform(sequence(0, len - {width}), i -> {hashed('i', width)}))")).alias("s"))
         places = f"if(size(h) >= {width}, sequence(0, size(h) - {width}), array())"
-        if small:
-            found = [r["s"] for r in known.select("s").distinct().collect()]
-            places = f"filter({places}, i -> {hashed('i', width)} IN ({', '.join(f'{s}L' for s in found) or 'NULL'}))"
-        # explode_outer and a filter after it, since a filter on the array's size would compute the array twice
-        hits = text.select("doc_id", "w", "h", F.explode_outer(F.expr(places)).alias("q")).where("q IS NOT NULL")
+        # common shingles that a window of n - width + 1 or len - width + 1 shingles must have at least
+        need = f"cast(ceil({threshold / (1 + threshold)!r} * (len - {width} + 1 + least(n, len) - {width} + 1) - 1e-9) as int)"
+        if not small:
+            every = text.select("doc_id", F.expr("size(w)").alias("n"), F.posexplode(F.expr(f"transform({places}, i -> {hashed('i', width)})")).alias("q", "s"))
+            ends = every.join(known, "s").groupBy("doc_id", "n", "key", "len").agg(F.sort_array(F.collect_set("q")).alias("qs")).withColumn("need", F.expr(need))
+            first = f"greatest(qs[k] - len + {width}, 0)"
+            starts = ends.select(F.col("doc_id").alias("_id"), F.col("n").alias("_n"), "key", "len", F.expr(f"array_distinct(transform(filter(sequence(0, size(qs) - 1), k -> k + 1 >= need AND qs[greatest(k - need + 1, 0)] >= {first}), k -> {first}))").alias("starts"))
+            starts = starts.where("size(starts) > 0")
+            placed = text.select("doc_id", "w").join(starts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.size("w") == F.col("_n"))).select("doc_id", "w", "key", "len", F.explode("starts").alias("start"))
+            return placed.select("doc_id", "key", "start", F.slice("w", F.col("start") + 1, F.col("len")).alias("window")).distinct()
+        found = [r["s"] for r in known.select("s").distinct().collect()]
+        places = f"filter({places}, i -> {hashed('i', width)} IN ({', '.join(f'{s}L' for s in found) or 'NULL'}))"
+        # explode_outer and filters after it, since a filter on the array's size would compute the array twice
+        hits = text.select("doc_id", "w", "h", F.explode_outer(F.array(F.expr(places))).alias("qs"))
+        hits = hits.select("doc_id", "w", "h", "qs", F.posexplode_outer("qs").alias("k", "q")).where("q IS NOT NULL")
         base = F.greatest(F.col("q") - longest, F.lit(0))
-        hits = hits.select("doc_id", "q", F.expr(hashed("q", width)).alias("s"), F.size("w").alias("n"), base.alias("base"), F.slice("w", base + 1, 2 * longest).alias("near"))
-        start = F.least(F.greatest(F.col("q") - F.col("p"), F.lit(0)), F.greatest(F.col("n") - F.col("len"), F.lit(0)))
-        start = F.greatest(start, F.col("base"))
-        placed = hits.join(hint(known), "s").withColumn("start", start)
-        return placed.select("doc_id", "item_id", "start", F.slice("near", F.col("start") - F.col("base") + 1, F.col("len")).alias("window")).dropDuplicates(["doc_id", "item_id", "start"])
+        recent = F.slice("qs", F.greatest(F.col("k") + 2 - longest, F.lit(1)), F.least(F.col("k") + 1, F.lit(longest)))
+        hits = hits.select("doc_id", "q", F.expr(hashed("q", width)).alias("s"), F.size("w").alias("n"), recent.alias("recent"), base.alias("base"), F.slice("w", base + 1, longest + width).alias("near"))
+        placed = hits.join(F.broadcast(known), "s").withColumn("start", F.greatest(F.col("q") - F.col("len") + width, F.lit(0)))
+        placed = placed.where(F.expr(f"try_element_at(recent, -{need}) >= start"))
+        return placed.select("doc_id", "key", "start", F.slice("near", F.col("start") - F.col("base") + 1, F.col("len")).alias("window")).distinct()
 
     found = reduce(DataFrame.unionByName, [windows(k) for k in widths])
 
@@ -103,12 +115,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
         df = df.select(*keep, s, F.explode_outer(F.array(F.expr(f"transform({s}, x -> xxhash64(x))"))).alias("_h"))
         return df.select(*keep, s, F.explode_outer(F.array(F.expr(fingerprint("_h")))).alias(f))
 
-    found = printed(found, "window", "sw", "fw", "doc_id", "item_id", "start")
-    sides = printed(items, "w", "si", "fi", "item_id", "len")
-    left = found.select("doc_id", "item_id", "start", "sw", "fw", F.inline(F.expr(blocks("fw", radius))))
-    right = sides.select(F.col("item_id").alias("item"), "len", "si", "fi", F.inline(F.expr(blocks("fi", radius))).alias("bi", "vi"))
-    near = left.join(hint(right), (F.col("item_id") == F.col("item")) & (F.col("b") == F.col("bi")) & (F.col("v") == F.col("vi")))
-    near = near.withColumn("hamming", F.expr("bit_count(fw ^ fi)")).where(F.col("hamming") <= radius).dropDuplicates(["doc_id", "item_id", "start"])
+    found = printed(found, "window", "sw", "fw", "doc_id", "key", "start")
+    sides = printed(items, "w", "si", "fi", "item_id", "key", "len")
+    left = found.select("doc_id", "key", "start", "sw", "fw", F.inline(F.expr(blocks("fw", radius))))
+    right = sides.select("item_id", F.col("key").alias("item"), "len", "si", "fi", F.inline(F.expr(blocks("fi", radius))).alias("bi", "vi"))
+    near = left.join(hint(right), (F.col("key") == F.col("item")) & (F.col("b") == F.col("bi")) & (F.col("v") == F.col("vi")))
+    near = near.withColumn("hamming", F.expr("bit_count(fw ^ fi)")).where(F.col("hamming") <= radius).select("doc_id", "item_id", "start", "len", "hamming", "sw", "si").distinct()
     exact = near.withColumn("similarity", F.expr(similarity("sw", "si"))).where(F.col("similarity") >= threshold)
     best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "len", -F.col("hamming"))).alias("m"))
     return best.select("doc_id", "item_id", F.round("m.similarity", 9).alias("similarity"), (-F.col("m.col2")).alias("start_word"), F.col("m.len").alias("n_words"), (-F.col("m.col4")).alias("hamming"))

@@ -75,3 +75,18 @@ def test_shuffled_way_finds_the_same(spark, planted, monkeypatch):
     monkeypatch.setattr("prudence.llm.decontamination.SMALL_SHINGLES", 0)
     assert sorted(contamination(df, bench).collect()) == want
     assert contamination(df.limit(0), bench).count() == 0 and contamination(df, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small", [50_000, 0])
+def test_windows_off_all_diagonals_are_found(spark, monkeypatch, small):
+    monkeypatch.setattr("prudence.llm.decontamination.SMALL_SHINGLES", small)
+    item = [f"i{k}" for k in range(60)]
+    copy = ["x", *item[1:30], "y", "z", *item[30:59], "u"]
+    text = ["a"] * 7 + copy + ["b"] * 9
+    similar = [round(jaccard(shingles(text[s : s + 60]), shingles(item)), 9) for s in range(len(text) - 59)]
+    assert max(similar[7], similar[9]) < 0.8 <= similar[8]
+    rows = [(1, " ".join(text)), (1, " ".join(item)), (2, " ".join(item[:50])), (None, " ".join(text))]
+    bench = [(5, " ".join(item)), (5, " ".join(item[:12])), (6, "one two three"), (None, "one two three")]
+    out = {(r.doc_id, r.item_id): r for r in contamination(spark.createDataFrame([*rows, (3, "zero one two three")], SCHEMA), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert set(out) == {(1, 5), (2, 5), (None, 5), (3, 6), (3, None)}
+    assert (out[None, 5].similarity, out[None, 5].start_word) == (0.806451613, 8) and out[1, 5].similarity == 1.0 and out[3, 6].start_word == 1
