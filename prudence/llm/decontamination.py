@@ -124,3 +124,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     exact = near.withColumn("similarity", F.expr(similarity("sw", "si"))).where(F.col("similarity") >= threshold)
     best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "len", -F.col("hamming"))).alias("m"))
     return best.select("doc_id", "item_id", F.round("m.similarity", 9).alias("similarity"), (-F.col("m.col2")).alias("start_word"), F.col("m.len").alias("n_words"), (-F.col("m.col4")).alias("hamming"))
+
+
+def oracle(threshold: float = THRESHOLD, width: int = WIDTH) -> str:
+    """The rows without hamming in DuckDB SQL: all windows of every document and item that share a shingle."""
+    split = "string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\pL\\pN]+', ' ', 'g'), ' '), ' ')"
+    return f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, w FROM (SELECT DISTINCT doc_id, {split} AS w FROM documents) WHERE w <> ['']),
+        b AS MATERIALIZED (SELECT row_number() OVER () AS b, item_id, len(w) AS n_words, least(len(w), {width}) AS k, w FROM (SELECT DISTINCT item_id, {split} AS w FROM benchmark) WHERE w <> ['']),
+        ds AS MATERIALIZED (SELECT d, doc_id, k, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) AS s FROM d, (SELECT DISTINCT k FROM b) WHERE len(w) >= k),
+        bs AS MATERIALIZED (SELECT b, item_id, n_words, k, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) AS s FROM b),
+        hit AS MATERIALIZED (SELECT DISTINCT d, b, k FROM (SELECT d, k, unnest(s) AS x FROM ds) JOIN (SELECT b, k, unnest(s) AS x FROM bs) USING (k, x)),
+        win AS (
+            SELECT doc_id, item_id, n_words, start_word, bs.s AS item, ds.s[start_word + 1:start_word + len(bs.s)] AS win
+            FROM (SELECT d, b, k, unnest(range(0, greatest(len(ds.s) - len(bs.s), 0) + 1)) AS start_word FROM hit JOIN ds USING (d, k) JOIN bs USING (b, k)) JOIN ds USING (d, k) JOIN bs USING (b, k)),
+        counted AS (SELECT *, list_sum(list_transform(list_distinct(item), lambda y: least(len(list_filter(item, lambda z: z = y)), len(list_filter(win, lambda z: z = y))))) AS common FROM win),
+        sim AS (SELECT doc_id, item_id, n_words, start_word, common / (len(item) + len(win) - common) AS similarity FROM counted)
+        SELECT doc_id, item_id, round(similarity, 9) AS similarity, cast(start_word AS int) AS start_word, cast(n_words AS int) AS n_words FROM sim WHERE similarity >= {threshold}
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start_word, n_words DESC) = 1"""

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prudence.llm import jaccard_join, licenses
-from prudence.llm.decontamination import contamination
+from prudence.llm import decontamination, jaccard_join, licenses
 from prudence.llm.exact_dedup import exact_dedup
 from prudence.llm.html_text import extract_text
 from prudence.llm.language import identify
@@ -34,7 +33,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hamming")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_language_id, op4_decontamination, op5_html_text, op6_licenses, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_exact_dedup)}
 
 ORACLES: dict[str, str] = {
+    "op4_decontamination": decontamination.oracle(),
     "op6_licenses": licenses.oracle(),
     "op8_jaccard_join": jaccard_join.oracle(),
     "op10_exact_dedup": """
