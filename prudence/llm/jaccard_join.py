@@ -3,10 +3,13 @@
 A document is the set of its five-word shingles; documents with equal sets are one class, of which one row goes on.
 A run samples shared tokens: with one hash function a set of n shingles takes those that hash below 1/(threshold n),
 so two sets of similarity `threshold` or more share a taken one with probability 0.63 or more. Sets that took the same
-token make a bucket. Small buckets are compared by brute force. A large one is split again by the tokens of the next
-function, up to `depth` times; one that doesn't shrink (its sets are near copies of each other) is compared in blocks.
-Runs are repeated until a pair at the threshold is missed with probability 1 - recall at most, if its buckets are not
-split; a pair all of whose common tokens are frequent must agree on each level, and is missed more often.
+token make a bucket. Small buckets are compared by brute force. A large one is split again by the tokens of every later
+function, up to `DEPTH` levels; one that doesn't shrink (its sets are near copies of each other) is compared in blocks.
+A pair is met in its first small or stuck bucket, at the latest where it agrees in `DEPTH` functions, whichever they
+are. There are so many functions that a pair at the threshold is missed with probability 1 - recall at most, even if
+all of its buckets are split at each level. What a pair shares in order of functions leads to one of its buckets: it
+needs comparing in no other, so a set stays only in small buckets where such a pair, of sizes that can reach the
+threshold, has it.
 
 Every similarity is computed from the whole shingle sets. A pair that meets in several buckets counts in the one with
 the smallest number among those that both are in, so that pairs needn't be gathered anywhere to be counted once:
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prudence.llm.features import mixed, slices
@@ -35,6 +38,8 @@ DEPTH = 3
 STUCK = 0.5
 #: Columns of a dense matrix of shingles at a time.
 COLUMNS = 4096
+#: Bits of a token in a key; the run stands above them.
+KEY_BITS = 57
 
 
 def runs_for(recall: float) -> int:
@@ -42,6 +47,20 @@ def runs_for(recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 / math.e)))
 
 
+def functions_for(recall: float, runs: int) -> int:
+    """Functions of which a pair at the threshold agrees in DEPTH, one of them a run's, but with probability 1 - recall. The first of them are those of the runs, the others only split."""
+
+    def missed(n: int) -> float:
+        agree = 1 - 1 / math.e
+        none = math.exp(-runs)
+        return none + sum(math.comb(n, k) * agree**k * math.exp(k - n) - (math.comb(n - runs, k) * agree**k * math.exp(k - n)) for k in range(1, DEPTH))
+
+    n = max(runs, DEPTH)
+    while n < 10 * runs and missed(n) > 1 - recall:
+        n += 1
+    return n
+
+
 def shingle_sets(part: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of each text, by row and hash. Texts of fewer words than `width` have one shingle of all words; texts without words none."""
     plain = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(part), r"[^\pL\pN]+", " "), " ")
@@ -81,11 +100,11 @@ def shingle_sets(part: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nda
     return row[new], s[new]
 
 
-def signatures(docs: DataFrame, runs: int, threshold: float, width: int) -> DataFrame:
+def signatures(docs: DataFrame, functions: int, threshold: float, width: int) -> DataFrame:
     """doc_id, low and high (the class of its shingle set), n (its size) and taken (run, token) of every text."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+        keys = mixed(np.arange(1, functions + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
         for batch in batches:
             for at, part in slices(batch.column(1)):
                 row, s = shingle_sets(part, width)
@@ -96,7 +115,7 @@ def signatures(docs: DataFrame, runs: int, threshold: float, width: int) -> Data
                 np.add.at(high, row, mixed(s ^ np.uint64(0xD6E8FEB86659FD93)))
                 bound = (float(2**64) / np.maximum(1.0, threshold * n)).clip(0, float(2**64 - 2048)).astype(np.uint64)[row]
                 rows, run, token = [], [], []
-                for k in range(runs):
+                for k in range(functions):
                     hit = np.flatnonzero(mixed(s * keys[k]) < bound)
                     rows.append(row[hit])
                     run.append(np.full(len(hit), k, np.int32))
@@ -110,34 +129,73 @@ def signatures(docs: DataFrame, runs: int, threshold: float, width: int) -> Data
     return docs.mapInArrow(signed, f"doc_id {dict(docs.dtypes)['doc_id']}, low bigint, high bigint, n bigint, taken array<struct<run: int, token: bigint>>")
 
 
-def buckets(sets: DataFrame, runs: int) -> DataFrame:
-    """doc_id, bucket, blocks: who is compared with whom. Buckets of one set are left out, and so is a small one with the same members as another."""
-    taken = stored(sets.select("doc_id", F.inline("taken")).select("doc_id", "run", "token"), "taken")
-    level = taken.select("doc_id", F.xxhash64("run", "token").alias("bucket"), "run")
+def key_of(run: str, token: str) -> Column:
+    """Run and token in one number, by run first."""
+    return F.expr(f"shiftleft(cast({run} AS bigint), {KEY_BITS}) | shiftrightunsigned({token}, {64 - KEY_BITS})")
+
+
+def partnered(path: list[int], sizes: list[int], keys: list[list[int]], threshold: float) -> list[int]:
+    """Places of the members of a bucket that have a partner there: of a possible size, and with no shared key that leads the pair elsewhere, which is one in the gaps between the keys of the bucket's path."""
+    gaps, low = [], 0
+    for k in path:
+        gaps.append((low, k))
+        low = ((k >> KEY_BITS) + 1) << KEY_BITS
+    elsewhere = [{k for k in own if any(a <= k < b for a, b in gaps)} for own in keys]
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    kept = [False] * len(sizes)
+    for x, i in enumerate(order):
+        for j in order[x + 1 :]:
+            if sizes[i] < threshold * sizes[j] - 1e-9:
+                break
+            if not (kept[i] and kept[j]) and elsewhere[i].isdisjoint(elsewhere[j]):
+                kept[i] = kept[j] = True
+    return [i for i, k in enumerate(kept) if k]
+
+
+def buckets(sets: DataFrame, runs: int, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, bucket, blocks: who is compared with whom. Sets have doc_id, n and taken; those without a partner in a small bucket are left out of it."""
+    kind = dict(sets.dtypes)["doc_id"]
+    taken = sets.select("doc_id", F.inline("taken")).where(F.col("run") < runs)
+    level = taken.select("doc_id", F.xxhash64("run", "token").alias("bucket"), "run", F.array(key_of("run", "token")).alias("path"))
+    level = stored(level, "taken")
     small, large = [], []
     for depth in range(DEPTH):
         sizes = level.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
         level = stored(level.join(sizes, "bucket"), "buckets")
-        small.append(level.where(F.col("size") <= SMALL).select("doc_id", "bucket"))
+        small.append(level.where(F.col("size") <= SMALL).select("doc_id", "bucket", "path"))
         rest = level.where(F.col("size") > SMALL)
         if rest.isEmpty():
             break
         if depth == DEPTH - 1:
             large.append(rest.select("doc_id", "bucket", "size"))
             break
-        # the tokens of the next function split it
-        tokens = taken.select("doc_id", F.pmod(F.col("run") - 1 - depth, F.lit(runs)).alias("run"), "token")
-        parts = stored(rest.join(tokens, ["doc_id", "run"]).select("doc_id", "run", "bucket", "size", F.xxhash64("bucket", "token").alias("part")), "parts")
+        # the tokens of each later function split it
+        later = rest.withColumnRenamed("run", "last").join(sets.select("doc_id", "taken"), "doc_id").select("doc_id", "last", "bucket", "size", "path", F.inline("taken")).where("run > last")
+        longer = F.concat("path", F.array(key_of("run", "token"))).alias("path")
+        parts = stored(later.select("doc_id", "run", "bucket", "size", longer, F.xxhash64("bucket", "run", "token").alias("part")), "parts")
         shrunk = parts.groupBy("bucket", "size", "part").count().groupBy("bucket").agg((F.max("count") > STUCK * F.first("size")).alias("stuck"))
         stuck = shrunk.where("stuck").select("bucket")
         large.append(rest.join(stuck, "bucket", "left_semi").select("doc_id", "bucket", "size"))
-        level = parts.join(stuck, "bucket", "left_anti").select("doc_id", F.col("part").alias("bucket"), "run")
+        level = parts.join(stuck, "bucket", "left_anti").select("doc_id", F.col("part").alias("bucket"), "run", "path")
     together = small[0]
     for x in small[1:]:
         together = together.unionByName(x)
-    members = together.groupBy("bucket").agg(F.sort_array(F.collect_list("doc_id")).alias("members"))
-    once = members.groupBy(F.xxhash64("members").alias("same"), F.size("members").alias("k")).agg(F.min(F.struct("bucket", "members")).alias("m"))
-    out = once.select(F.explode("m.members").alias("doc_id"), F.col("m.bucket").alias("bucket"), F.lit(1).alias("blocks"))
+    keys = sets.select("doc_id", "n", F.transform("taken", lambda t: F.shiftleft(t["run"].cast("bigint"), KEY_BITS).bitwiseOR(F.shiftrightunsigned(t["token"], 64 - KEY_BITS))).alias("keys"))
+    # only the keys before the last of the path can lead elsewhere
+    full = together.join(keys, "doc_id").select("doc_id", "bucket", "path", "n", F.filter("keys", lambda k: k < F.element_at("path", -1)).alias("keys"))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, paths, members = (batch.column(c).to_pylist() for c in ("bucket", "path", "members"))
+            ids, of = [], []
+            for bucket, path, group in zip(numbers, paths, members, strict=True):
+                for i in partnered(path, [g["n"] for g in group], [g["keys"] for g in group], threshold):
+                    ids.append(group[i]["doc_id"])
+                    of.append(bucket)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), pa.array(of, pa.int64()), pa.array([1] * len(of), pa.int32())], ["doc_id", "bucket", "blocks"])
+
+    members = full.groupBy("bucket").agg(F.first("path").alias("path"), F.collect_list(F.struct("doc_id", "n", "keys")).alias("members"))
+    out = members.mapInArrow(chosen, f"doc_id {kind}, bucket bigint, blocks int")
     for x in large:
         out = out.unionByName(x.select("doc_id", "bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     return out
@@ -302,10 +360,11 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     runs = runs_for(recall)
-    marked = stored(signatures(docs, runs, threshold, width), "signatures")
+    functions = functions_for(recall, runs)
+    marked = stored(signatures(docs, functions, threshold, width), "signatures")
     if not marked.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
-        marked = stored(signatures(docs, runs, threshold, width), "signatures")
+        marked = stored(signatures(docs, functions, threshold, width), "signatures")
     classes = stored(marked.groupBy("low", "high", "n").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies")), "classes")
     # a class with many copies is joined back by broadcast: there are at most a thousand of over a thousandth of all rows
     share = max(10_000, marked.count() // 1000)
@@ -314,7 +373,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     large = F.broadcast(classes.where(F.col("copies") > share).select(*key, "rep_id"))
     one = some.join(large, key).unionByName(some.join(large, key, "left_anti").join(classes.where(F.col("copies") <= share).select(*key, "rep_id"), key))
     rows = stored(one.select("doc_id", "rep_id", "n", F.when(F.col("doc_id") == F.col("rep_id"), F.col("taken")).alias("taken")), "rows")
-    member = stored(buckets(rows.where("doc_id = rep_id AND n > 0"), runs), "members")
+    member = stored(buckets(rows.where("doc_id = rep_id AND n > 0"), runs, threshold), "members")
     links = stored(verified(docs, member, threshold, width), "links")
     total = links.groupBy(F.col("doc_id").alias("rep_id")).agg(F.sum("links").alias("n_links"))
     known = total.join(components(links).withColumnRenamed("doc_id", "rep_id"), "rep_id", "left")

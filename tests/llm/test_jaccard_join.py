@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -72,3 +73,31 @@ def test_edges(spark):
 
 def test_runs_reach_the_recall():
     assert J.runs_for(0.99999) == 12
+
+
+def test_split_pairs_need_no_consecutive_functions(spark, monkeypatch):
+    monkeypatch.setattr(J, "SMALL", 4)
+    shared = {0: 1, 2: 2, 4: 3}
+    sets = spark.createDataFrame([(i, 50, [(k, shared.get(k, 1000 * (i + 1) + k)) for k in range(12)]) for i in range(10)], "doc_id long, n long, taken array<struct<run: int, token: bigint>>")
+    met = {}
+    for r in J.buckets(sets, 12).collect():
+        met.setdefault(r.bucket, set()).add(r.doc_id)
+    assert set(range(10)) in met.values()
+
+
+def test_functions_reach_the_recall_for_split_buckets():
+    n, p = J.functions_for(0.99999, 12), 1 - 1 / math.e
+    rng = random.Random(3)
+    fewer = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(J.DEPTH))
+    assert (1 - p) ** 12 < (1 - p) ** 12 + fewer <= 1e-5
+    agreed = [[rng.random() < p for _ in range(n)] for _ in range(20_000)]
+    assert sum(sum(a) < J.DEPTH or not any(a[:12]) for a in agreed) <= 3
+
+
+def test_a_pair_stays_in_the_first_of_its_buckets():
+    k = lambda run: run << J.KEY_BITS | 5
+    assert J.partnered([k(1)], [10, 9], [[], []], 0.8) == [0, 1]
+    assert J.partnered([k(1)], [10, 7], [[], []], 0.8) == []
+    assert J.partnered([k(1)], [10, 10], [[k(0)], [k(0)]], 0.8) == []
+    assert J.partnered([k(1), k(4)], [10, 10, 10], [[k(1), k(2)], [k(1), k(2)], [k(1)]], 0.8) == [0, 1, 2]
+    assert J.partnered([k(1), k(4)], [10, 10], [[k(1), k(2)], [k(1), k(2)]], 0.8) == []
