@@ -23,7 +23,7 @@ INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd
 VOID = "area base br col embed hr img input link meta param source track wbr"
 FURNITURE = "nav footer aside form menu dialog fieldset"
 CONTENT = "article main"
-#: Words of class, id and role that mark furniture.
+#: Whole words of class, id and role that mark furniture.
 HINTS = (
     "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies "
     "copyright discussion disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification "
@@ -77,19 +77,40 @@ def pieces(page: str) -> Iterator[tuple[str, str]]:
 def hinted(attrs: str) -> bool:
     if "=" not in attrs:
         return False
-    return any(word in _HINTS for m in NAMED.finditer(attrs) for word in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+    return any(word in _HINTS for m in NAMED.finditer(attrs) for word in (m[1] or m[2] or m[3] or "").lower().split())
 
 
 def units(page: str) -> list[tuple[str, int, str, bool]]:
-    """(kind, number of words or 1, text, inside furniture) along the page; kinds: word, link, and tags by name. Where the page has an article or main element, kinds outside it end in ~."""
+    """Units of the page, without the hints that would take its main text away.
+
+    Where no article or main element is left, a hint doesn't count whose element is or holds one, or holds over half of
+    the page's words outside of links.
+    """
+    free: set[int] = set()
+    while True:
+        held: dict[int, list[int]] = {}
+        out = marked_units(page, free, held)
+        if any(k in _CONTENT for k, _, _, f in out if not f):
+            return out
+        words = sum(n for k, n, _, _ in out if k.startswith("word"))
+        lost = {i for i, (_, content) in held.items() if content} or {i for i, (n, _) in held.items() if 2 * n > words}
+        if not lost:
+            return out
+        free |= lost
+
+
+def marked_units(page: str, free: set[int], held: dict[int, list[int]]) -> list[tuple[str, int, str, bool]]:
+    """(kind, number of words or 1, text, inside furniture) along the page; kinds: word, link, and tags by name. Where the page has an article or main element, kinds outside it end in ~. Hints of the tags numbered in free don't count; held gets, for each tag whose hint makes furniture of what wasn't, the words and article or main elements lost."""
     out: list[tuple[str, int, str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, content
+    stack: list[tuple[str, bool, bool, int]] = []  # name, furniture, content, number of the tag by whose hint it is furniture or -1
     links, inside = 0, False
-    for kind, text in pieces(page):
+    for number, (kind, text) in enumerate(pieces(page)):
         if kind == "":
             shown = html.unescape(text)
             if n := len(shown.split()):
                 out.append(("link" if links else "word", n, shown, bool(stack) and stack[-1][1]))
+                if stack and stack[-1][3] >= 0 and not links:
+                    held[stack[-1][3]][0] += n
             elif out:
                 out.append(("", 0, shown, False))
             inside = bool(stack) and stack[-1][2]
@@ -106,15 +127,20 @@ def units(page: str) -> list[tuple[str, int, str, bool]]:
         else:
             if kind == "a":
                 links += 1
-            furniture, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            marked = kind not in ("body", "html") and hinted(text)
+            furniture, inside, owner = stack[-1][1:] if stack else (False, False, -1)
+            marked = kind not in ("body", "html") and number not in free and hinted(text)
             if kind in _CONTENT and not marked:
                 if furniture and not any(x[0] in ("section", "div", "article", "main") and x[1] for x in stack):
-                    furniture = False  # furniture that was never closed ends where the content begins
+                    furniture, owner = False, -1  # furniture that was never closed ends where the content begins
                 inside = True
+            if marked and not furniture and kind not in _FURNITURE and kind != "header":
+                owner = number
+                held[owner] = [0, 0]
+            if kind in _CONTENT and owner >= 0:
+                held[owner][1] += 1
             furniture = furniture or marked or kind in _FURNITURE or kind == "header" and not inside
             if kind not in _INLINE and kind not in _VOID and kind not in ("p", "li", "dt", "dd", "tr", "td", "th") or marked and kind in ("p", "li", "td"):
-                stack.append((kind, furniture, inside))
+                stack.append((kind, furniture, inside, owner))
             links = 0 if kind in _CONTENT else links
             out.append((kind, 1, "", furniture))
         if out and out[-1][0]:

@@ -34,3 +34,18 @@ def test_edges(spark, clash):
     got = sorted(((r.page_id or 0), r.text[:20], r.n_chars) for r in out.collect())
     assert got == [(0, "", 0), (1, "", 0), (2, "", 0), (3, "", 0), (4, "2 < 3 & 4", 9), (4, "2 < 3 & 4", 9), (5, "word word word word ", 249_999)]
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='layout has-sidebar'><article>{ARTICLE}</article></div><div class='ad'>Buy now</div>",
+        f"<body><div class='no-sidebar'>{ARTICLE}</div><div class='sidebar'><p>Weather for today is fair</p></div>",
+        f"<body><nav><a>one</a></nav><main class='search-results'>{ARTICLE}</main>",
+        f"<body><div class='social'><article>{ARTICLE}</article></div><div class='ad'>Buy now</div>",
+        f"<body><main class='search'>{ARTICLE}</main><div class='ad'>Buy now</div>",
+        f"<body><div class='modal'><div class='notice'>{ARTICLE}</div></div><div class='ad'>Buy now</div>",
+    ],
+)
+def test_hints_do_not_remove_the_article(page):
+    assert main_text(page) == WANT
