@@ -651,7 +651,7 @@ def multi_seed_summary(spark, sf_dir):
 
 @query()
 def paired_bootstrap(spark, sf_dir):
-    draws = resample.paired_bootstrap(S.labels(spark, sf_dir), scores(), replicates=1000)
+    draws = resample.paired_bootstrap(S.labels(spark, sf_dir), scores())
     return resample.bootstrap_summary(draws, "confidence")
 
 

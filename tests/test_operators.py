@@ -246,3 +246,9 @@ def test_containing_equals_search(spark):
     items = spark.createDataFrame([(1, "one two three four five"), (2, "two"), (3, " "), (4, None), (5, "B")], "item_id int, text string")
     got = sorted((r.doc_id, r.item_id) for r in lookup.containing(docs, items).collect())
     assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 5), (6, 2)]
+
+
+def test_registered_bootstrap_draws_every_replicate(spark):
+    from prudence.plans import catalog
+
+    assert {r.replicates for r in catalog.QUERIES["paired_bootstrap"](spark, "/root/testdata/sf0.001").collect()} == {5000}
