@@ -538,6 +538,17 @@ def threshold_search(spark, sf_dir):
     return best.select("abstain_threshold", "answer_threshold", "answer_count", "abstain_count", "answer_risk", "abstain_correct_rate", "total_constraint_violation", "constraints_satisfied")
 
 
+@query()
+def quantile_candidates_full(spark, sf_dir):
+    return calibration.quantile_candidates(S.events(spark, sf_dir)).select(F.round("candidate", 9).alias("candidate")).distinct()
+
+
+@query()
+def threshold_search_full(spark, sf_dir):
+    best = calibration.select_thresholds(S.events(spark, sf_dir))
+    return best.select("abstain_threshold", "answer_threshold", "answer_count", "abstain_count", "answer_risk", "abstain_correct_rate", "total_constraint_violation", "constraints_satisfied")
+
+
 _FUSED = "CASE WHEN alpha = 1 THEN confidence WHEN alpha = 0 THEN entailment WHEN confidence = 0 OR entailment = 0 THEN 0.0 ELSE exp(alpha * ln(confidence) + (1 - alpha) * ln(entailment)) END"
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,29 @@ def test_containing_equals_search(spark):
     assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 5), (6, 2)]
 
 
+def test_registered_thresholds_search_the_whole_grid(spark):
+    from prudence.plans import catalog, surrogate
+
+    data = "/root/testdata/sf0.001"
+    rows = [(r.confidence, r.correct) for r in surrogate.events(spark, data).select("confidence", "correct").collect()]
+    grid = sorted({0.0, 1.0, *np.quantile([c for c, _ in rows], np.arange(101) / 100)})
+    got = sorted(r.candidate for r in catalog.QUERIES["quantile_candidates_full"](spark, data).collect())
+    assert np.allclose(got, sorted({round(float(g), 9) for g in grid}), atol=2e-9)
+    n, best = len(rows), None
+    for i, low in enumerate(grid):
+        below = [c for x, c in rows if x <= low]
+        for high in grid[i + 1 :]:
+            above = [c for x, c in rows if x >= high]
+            if min(len(above), len(below)) < max(1, math.ceil(n * 0.05)):
+                continue
+            risk, bad = 1 - sum(above) / len(above), sum(below) / len(below)
+            ok, broken = risk <= 0.1 and bad <= 0.25, round(max(0, risk - 0.1) + max(0, bad - 0.25), 9)
+            key = (not ok, 0 if ok else broken, -len(above), -len(above) - len(below), round(risk, 9) if ok else 0, round(bad, 9) if ok else 0, low, high)
+            best = min(best, key) if best else key
+    r = catalog.QUERIES["threshold_search_full"](spark, data).first()
+    assert np.allclose([r.abstain_threshold, r.answer_threshold], best[-2:], atol=2e-9)
+
+
 def test_registered_bootstrap_draws_every_replicate(spark):
     from prudence.plans import catalog
 
