@@ -4,16 +4,16 @@ A document is the set of its five-word shingles; documents with equal sets are o
 A run samples shared tokens: with one hash function a set of n shingles takes those that hash below 1/(threshold n),
 so two sets of similarity `threshold` or more share a taken one with probability 0.63 or more. Sets that took the same
 token make a bucket. Small buckets are compared by brute force. A large one is split again by the tokens of every later
-function, up to `DEPTH` levels; one that doesn't shrink (its sets are near copies of each other) is compared in blocks.
-A pair is met in its first small or stuck bucket, at the latest where it agrees in `DEPTH` functions, whichever they
-are. There are so many functions that a pair at the threshold is missed with probability 1 - recall at most, even if
-all of its buckets are split at each level. What a pair shares in order of functions leads to one of its buckets: it
-needs comparing in no other, so a set stays only in small buckets where such a pair, of sizes that can reach the
-threshold, has it.
-
-Every similarity is computed from the whole shingle sets. A pair that meets in several buckets counts in the one with
-the smallest number among those that both are in, so that pairs needn't be gathered anywhere to be counted once:
-buckets send out how many links each document has in them and a tree of links, never all pairs.
+function, up to `DEPTH` levels; one whose sets stay together under most functions (they are near copies of each other)
+is compared in blocks. A pair is met in its first small or stuck bucket, at the latest where it agrees in `DEPTH`
+functions, whichever they are. There are so many functions that a pair at the threshold is missed with probability
+1 - recall at most, even if all of its buckets are split at each level.
+
+Brute force has two steps. The first compares sketches of 256 bits and sizes, and leaves in a bucket only sets that may
+have a partner there which they don't meet in a bucket with a smaller number; a pair at the threshold fails it with
+probability MISS at most. The second compares whole shingle sets. A pair counts in the bucket with the smallest number
+among those that both are in, so that pairs needn't be gathered anywhere to be counted once: buckets send out how many
+links each document has in them and a tree of links, never all pairs.
 """
 
 from __future__ import annotations
@@ -24,22 +24,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from prudence.llm.features import mixed, slices
+from prudence.llm.features import mixed, released, slices
 from prudence.llm.scratch import stored
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.99999
-#: Sets of a bucket that is compared at once, and of a block of one that is split no further.
-SMALL, BLOCK = 64, 1500
+#: Sets of a bucket that isn't split, and of a block of sketches of one that is split no further.
+SMALL = 6000
+#: Sets and shingles of a block of whole sets; sketches of a tile that is compared at once.
+BLOCK, BLOCK_SHINGLES, TILE = 2500, 1_000_000, 1500
 DEPTH = 3
-#: A bucket of which one part has more than this share isn't split: its sets are near copies.
+#: Sets of a group whose sketches are compared one by one; those of more are compared by matrices.
+SINGLE = 64
+#: A bucket isn't split if under half of the later functions or more, one part has more than this share: its sets are near copies.
 STUCK = 0.5
+#: Places of a sketch, and the probability that it parts a pair at the threshold.
+PLACES, MISS = 128, 1e-6
+#: Documents with a possible partner up to which their buckets are broadcast to the texts; beyond, both are shuffled.
+FEW = 100_000
+#: Bytes of shingles that are handed over at a time.
+DEALT_BYTES = 8_000_000
 #: Columns of a dense matrix of shingles at a time.
-COLUMNS = 4096
-#: Bits of a token in a key; the run stands above them.
-KEY_BITS = 57
+COLUMNS = 2048
 
 
 def runs_for(recall: float) -> int:
@@ -100,8 +109,32 @@ def shingle_sets(part: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nda
     return row[new], s[new]
 
 
+def sketches(row: np.ndarray, s: np.ndarray, rows: int) -> np.ndarray:
+    """Sketch of each row's sorted hashes, as (rows, 32) bytes: which of PLACES ranges of hashes have any, then a bit of the least in each."""
+    place = (s >> np.uint64(57)).astype(np.int64)
+    first = np.ones(len(s), bool)
+    first[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+    bits = np.zeros((rows, 2 * PLACES), np.uint8)
+    bits[row[first], place[first]] = 1
+    bits[row[first], PLACES + place[first]] = s[first] & np.uint64(1)
+    return np.packbits(bits, axis=1)
+
+
+def least_agreeing(threshold: float, miss: float = MISS) -> list[int]:
+    """For each number of places that either of two sketches has: in how many they agree at least if the sets have the threshold, but with probability `miss`."""
+    out = []
+    for n in range(PLACES + 1):
+        below, k = (1 - threshold) ** n, 0
+        while below <= miss and k < n:
+            k += 1
+            below += math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k)
+        out.append(k)
+    return out
+
+
 def signatures(docs: DataFrame, functions: int, threshold: float, width: int) -> DataFrame:
-    """doc_id, low and high (the class of its shingle set), n (its size) and taken (run, token) of every text."""
+    """doc_id, low and high (the class of its shingle set), n (its size), taken (run, token) and sketch of every text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = mixed(np.arange(1, functions + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
@@ -116,7 +149,7 @@ def signatures(docs: DataFrame, functions: int, threshold: float, width: int) ->
                 bound = (float(2**64) / np.maximum(1.0, threshold * n)).clip(0, float(2**64 - 2048)).astype(np.uint64)[row]
                 rows, run, token = [], [], []
                 for k in range(functions):
-                    hit = np.flatnonzero(mixed(s * keys[k]) < bound)
+                    hit = np.flatnonzero(s * keys[k] < bound)
                     rows.append(row[hit])
                     run.append(np.full(len(hit), k, np.int32))
                     token.append(s[hit])
@@ -124,81 +157,38 @@ def signatures(docs: DataFrame, functions: int, threshold: float, width: int) ->
                 order = np.argsort(rows, kind="stable")
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(part)))]).astype(np.int32)
                 taken = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(run[order]), pa.array(token[order].view(np.int64))], ["run", "token"]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(n.astype(np.int64)), taken], ["doc_id", "low", "high", "n", "taken"])
-
-    return docs.mapInArrow(signed, f"doc_id {dict(docs.dtypes)['doc_id']}, low bigint, high bigint, n bigint, taken array<struct<run: int, token: bigint>>")
-
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(n.astype(np.int64)), taken, pa.array([x.tobytes() for x in sketches(row, s, len(part))], pa.binary())], ["doc_id", "low", "high", "n", "taken", "sketch"])
 
-def key_of(run: str, token: str) -> Column:
-    """Run and token in one number, by run first."""
-    return F.expr(f"shiftleft(cast({run} AS bigint), {KEY_BITS}) | shiftrightunsigned({token}, {64 - KEY_BITS})")
-
-
-def partnered(path: list[int], sizes: list[int], keys: list[list[int]], threshold: float) -> list[int]:
-    """Places of the members of a bucket that have a partner there: of a possible size, and with no shared key that leads the pair elsewhere, which is one in the gaps between the keys of the bucket's path."""
-    gaps, low = [], 0
-    for k in path:
-        gaps.append((low, k))
-        low = ((k >> KEY_BITS) + 1) << KEY_BITS
-    elsewhere = [{k for k in own if any(a <= k < b for a, b in gaps)} for own in keys]
-    order = sorted(range(len(sizes)), key=sizes.__getitem__)
-    kept = [False] * len(sizes)
-    for x, i in enumerate(order):
-        for j in order[x + 1 :]:
-            if sizes[i] < threshold * sizes[j] - 1e-9:
-                break
-            if not (kept[i] and kept[j]) and elsewhere[i].isdisjoint(elsewhere[j]):
-                kept[i] = kept[j] = True
-    return [i for i, k in enumerate(kept) if k]
+    return docs.mapInArrow(released(signed), f"doc_id {kind}, low bigint, high bigint, n bigint, taken array<struct<run: int, token: bigint>>, sketch binary")
 
 
-def buckets(sets: DataFrame, runs: int, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, bucket, blocks: who is compared with whom. Sets have doc_id, n and taken; those without a partner in a small bucket are left out of it."""
-    kind = dict(sets.dtypes)["doc_id"]
+def buckets(sets: DataFrame, runs: int, functions: int) -> DataFrame:
+    """doc_id, bucket, blocks: who is compared with whom by sketches, a bucket of several blocks by pairs of them."""
     taken = sets.select("doc_id", F.inline("taken")).where(F.col("run") < runs)
-    level = taken.select("doc_id", F.xxhash64("run", "token").alias("bucket"), "run", F.array(key_of("run", "token")).alias("path"))
-    level = stored(level, "taken")
-    small, large = [], []
+    level = stored(taken.select("doc_id", F.xxhash64("run", "token").alias("bucket"), "run"), "taken")
+    blocks = F.ceil(F.col("size") / SMALL).cast("int").alias("blocks")
+    met = []
     for depth in range(DEPTH):
-        sizes = level.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        # sizes are written, so that both sides of the joins come straight from an exchange and a hot bucket can be split
+        sizes = stored(level.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket", "size", blocks), "sizes")
         level = stored(level.join(sizes, "bucket"), "buckets")
-        small.append(level.where(F.col("size") <= SMALL).select("doc_id", "bucket", "path"))
         rest = level.where(F.col("size") > SMALL)
-        if rest.isEmpty():
-            break
-        if depth == DEPTH - 1:
-            large.append(rest.select("doc_id", "bucket", "size"))
+        if depth == DEPTH - 1 or rest.isEmpty():
+            met.append(level.select("doc_id", "bucket", "blocks"))
             break
+        met.append(level.where(F.col("size") <= SMALL).select("doc_id", "bucket", "blocks"))
         # the tokens of each later function split it
-        later = rest.withColumnRenamed("run", "last").join(sets.select("doc_id", "taken"), "doc_id").select("doc_id", "last", "bucket", "size", "path", F.inline("taken")).where("run > last")
-        longer = F.concat("path", F.array(key_of("run", "token"))).alias("path")
-        parts = stored(later.select("doc_id", "run", "bucket", "size", longer, F.xxhash64("bucket", "run", "token").alias("part")), "parts")
-        shrunk = parts.groupBy("bucket", "size", "part").count().groupBy("bucket").agg((F.max("count") > STUCK * F.first("size")).alias("stuck"))
-        stuck = shrunk.where("stuck").select("bucket")
-        large.append(rest.join(stuck, "bucket", "left_semi").select("doc_id", "bucket", "size"))
-        level = parts.join(stuck, "bucket", "left_anti").select("doc_id", F.col("part").alias("bucket"), "run", "path")
-    together = small[0]
-    for x in small[1:]:
+        later = rest.withColumnRenamed("run", "last").join(sets.select("doc_id", "taken"), "doc_id").select("doc_id", "last", "bucket", "size", F.inline("taken")).where("run > last")
+        parts = stored(later.select("doc_id", "run", "last", "bucket", "size", F.xxhash64("bucket", "run", "token").alias("part")), "parts")
+        largest = parts.groupBy("bucket", "size", "last", "run", "part").count().groupBy("bucket", "size", "last", "run").agg(F.max("count").alias("most"))
+        held = largest.groupBy("bucket", "last").agg(F.sum((F.col("most") > STUCK * F.col("size")).cast("int")).alias("held"))
+        stuck = stored(held.where(2 * F.col("held") >= functions - 1 - F.col("last")).select("bucket"), "stuck")
+        met.append(rest.join(stuck, "bucket", "left_semi").select("doc_id", "bucket", "blocks"))
+        level = parts.join(stuck, "bucket", "left_anti").select("doc_id", F.col("part").alias("bucket"), "run")
+    together = met[0]
+    for x in met[1:]:
         together = together.unionByName(x)
-    keys = sets.select("doc_id", "n", F.transform("taken", lambda t: F.shiftleft(t["run"].cast("bigint"), KEY_BITS).bitwiseOR(F.shiftrightunsigned(t["token"], 64 - KEY_BITS))).alias("keys"))
-    # only the keys before the last of the path can lead elsewhere
-    full = together.join(keys, "doc_id").select("doc_id", "bucket", "path", "n", F.filter("keys", lambda k: k < F.element_at("path", -1)).alias("keys"))
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbers, paths, members = (batch.column(c).to_pylist() for c in ("bucket", "path", "members"))
-            ids, of = [], []
-            for bucket, path, group in zip(numbers, paths, members, strict=True):
-                for i in partnered(path, [g["n"] for g in group], [g["keys"] for g in group], threshold):
-                    ids.append(group[i]["doc_id"])
-                    of.append(bucket)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), pa.array(of, pa.int64()), pa.array([1] * len(of), pa.int32())], ["doc_id", "bucket", "blocks"])
-
-    members = full.groupBy("bucket").agg(F.first("path").alias("path"), F.collect_list(F.struct("doc_id", "n", "keys")).alias("members"))
-    out = members.mapInArrow(chosen, f"doc_id {kind}, bucket bigint, blocks int")
-    for x in large:
-        out = out.unionByName(x.select("doc_id", "bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    return out
+    return together
 
 
 def linked(sets: list[np.ndarray], others: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -275,33 +265,131 @@ def compared(group: list[dict], threshold: float) -> list[tuple]:
     return [(members[i]["doc_id"], int(count[i]), members[root[i]]["doc_id"]) for i in np.flatnonzero(touched)]
 
 
-def verified(docs: DataFrame, member: DataFrame, threshold: float, width: int) -> DataFrame:
-    """doc_id, links, other: what the buckets' comparisons give."""
-    kind = dict(docs.dtypes)["doc_id"]
-    lists = member.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "blocks")).alias("in"))
-    chosen = docs.join(lists, "doc_id").select("doc_id", "text", "in")
+def dealt(rows: DataFrame) -> DataFrame:
+    """pair and side, beside the other columns, of each row of doc_id, bucket, blocks: the pairs of blocks in which a document is compared. Side 2 is a block with itself."""
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(7))
+    own = F.pmod(key, F.col("blocks")).cast("int")
+    rows = rows.select("*", own.alias("_own")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other"))
+    low, high = F.least("_own", "_other").cast("bigint"), F.greatest("_own", "_other").cast("bigint")
+    side = F.when(low == high, 2).otherwise((F.col("_own") == high).cast("int")).cast("int")
+    return rows.withColumn("pair", low * F.col("blocks") + high).withColumn("side", side).drop("_own", "_other", "blocks")
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of each bucket and pair of blocks, from rows in that order."""
+    group: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if group and (group[0]["bucket"], group[0]["pair"]) != (row["bucket"], row["pair"]):
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def hopeful_few(group: list[dict], agreeing: list[int], threshold: float) -> list[int]:
+    """Places of the members of a small group that may have a partner in it which they meet in no bucket with a smaller number."""
+    bucket = group[0]["bucket"]
+    seen = [int.from_bytes(g["sketch"][: PLACES // 8], "big") for g in group]
+    bits = [int.from_bytes(g["sketch"][PLACES // 8 :], "big") for g in group]
+    before = [{x for x in g["numbers"] if x < bucket} for g in group]
+    order = sorted(range(len(group)), key=lambda i: group[i]["n"])
+    kept = [False] * len(group)
+    for x, i in enumerate(order):
+        for j in order[x + 1 :]:
+            if group[i]["n"] < threshold * group[j]["n"] - 1e-9:
+                break
+            if kept[i] and kept[j] or group[i]["side"] == group[j]["side"] != 2:
+                continue
+            agree = (seen[i] & seen[j] & ~(bits[i] ^ bits[j])).bit_count()
+            if agree >= agreeing[(seen[i] | seen[j]).bit_count()] and before[i].isdisjoint(before[j]):
+                kept[i] = kept[j] = True
+    return [i for i, k in enumerate(kept) if k]
+
+
+def hopeful_many(group: list[dict], agreeing: list[int], threshold: float) -> list[int]:
+    """The same of a large group, with matrices of TILE rows and columns."""
+    left = [i for i, g in enumerate(group) if g["side"] != 1]
+    right = [i for i, g in enumerate(group) if g["side"] != 0]
+    n = np.array([g["n"] for g in group], float)
+    words = np.frombuffer(b"".join(g["sketch"] for g in group), np.uint64).reshape(len(group), -1)
+    half = words.shape[1] // 2
+    least = np.array(agreeing, np.int16)
+    kept = np.zeros(len(group), bool)
+    for i in range(0, len(left), TILE):
+        for j in range(i if group[0]["side"] == 2 else 0, len(right), TILE):
+            a, b = np.array(left[i : i + TILE]), np.array(right[j : j + TILE])
+            hit = (n[a][:, None] >= threshold * n[b][None, :] - 1e-9) & (n[b][None, :] >= threshold * n[a][:, None] - 1e-9) & (a[:, None] != b[None, :])
+            either, agree = np.zeros(hit.shape, np.int16), np.zeros(hit.shape, np.int16)
+            for k in range(half):
+                x, y = words[a, k][:, None], words[b, k][None, :]
+                either += np.bitwise_count(x | y)
+                agree += np.bitwise_count(x & y & ~(words[a, half + k][:, None] ^ words[b, half + k][None, :]))
+            hit &= agree >= least[either]
+            # whether a pair meets elsewhere matters for those alone that may be partners
+            a, b, hit = a[hit.any(1)], b[hit.any(0)], hit[hit.any(1)][:, hit.any(0)]
+            if len(a):
+                hit &= ~earlier([np.array(group[x]["numbers"], np.int64) for x in a], [np.array(group[x]["numbers"], np.int64) for x in b], group[0]["bucket"])
+                kept[a[hit.any(1)]] = kept[b[hit.any(0)]] = True
+    return np.flatnonzero(kept).tolist()
+
+
+def hopeful(sets: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, in (bucket, pair, side of the blocks of whole sets where it may have a partner), numbers (all buckets of the document in order)."""
+    schema = sets.schema
+    kind, id_type = schema["doc_id"].dataType.simpleString(), to_arrow_type(schema["doc_id"].dataType)
+    agreeing = least_agreeing(threshold)
+    numbers = stored(member.groupBy("doc_id").agg(F.sort_array(F.collect_set("bucket")).alias("numbers")).join(sets.select("doc_id", "n", "sketch"), "doc_id"), "numbers")
+    light = dealt(member).join(numbers, "doc_id").select("doc_id", "bucket", "pair", "side", "n", "sketch", "numbers")
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for group in groups(batches):
+            for i in (hopeful_few if len(group) <= SINGLE else hopeful_many)(group, agreeing, threshold) if len(group) > 1 else ():
+                found.append((group[i]["doc_id"], group[i]["bucket"], group[i]["n"]))
+            if len(found) > 20_000:
+                yield rows_of(found)
+                found = []
+        yield rows_of(found)
+
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (id_type, pa.int64(), pa.int64()), strict=True)], ["doc_id", "bucket", "n"])
+
+    found = light.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "doc_id").mapInArrow(released(chosen), f"doc_id {kind}, bucket bigint, n bigint")
+    near = stored(found.distinct(), "hopeful")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    sizes = stored(near.groupBy("bucket").agg(blocks), "hopeful-sizes")
+    own = dealt(near.join(sizes, "bucket")).groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "pair", "side")).alias("in"))
+    return own.join(numbers.select("doc_id", "numbers"), "doc_id")
+
+
+def verified(docs: DataFrame, sets: DataFrame, member: DataFrame, threshold: float, width: int) -> DataFrame:
+    """doc_id, links, other: what the buckets' comparisons of whole sets give."""
+    id_field = docs.schema["doc_id"].dataType
+    kind, id_type = id_field.simpleString(), to_arrow_type(id_field)
+    lists = stored(hopeful(sets, member, threshold), "lists")
+    few = lists.count() <= FEW
+    chosen = docs.join(F.broadcast(lists) if few else lists, "doc_id").select("doc_id", "text", "in", "numbers")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists_of = batch.column(0), batch.column(2).to_pylist()
+            ids, places, numbers = batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for at, part in slices(batch.column(1)):
                 row, s = shingle_sets(part, width)
                 ends = np.cumsum(np.bincount(row, minlength=len(part)))
                 out: list[list] = [[], [], [], [], [], []]
+                size = 0
                 for r in range(len(part)):
-                    own = np.sort(np.array([x["bucket"] for x in lists_of[at + r]], np.int64))
-                    raw, numbers = s[ends[r - 1] if r else 0 : ends[r]].tobytes(), own.tobytes()
-                    key = ids[at + r]
-                    for x in lists_of[at + r]:
-                        k = x["blocks"]
-                        block = int.from_bytes(str(key.as_py()).encode()[-8:], "little") * 0x9E3779B1 % 2**32 * k >> 32
-                        for other in range(k):
-                            a, b = min(block, other), max(block, other)
-                            for c, v in zip(out, (at + r, x["bucket"], a * k + b, 2 if a == b else int(block == b), raw, numbers), strict=True):
-                                c.append(v)
-                    if len(out[0]) > 5000:
-                        yield rows_of(ids, out)
-                        out = [[], [], [], [], [], []]
+                    raw, own = s[ends[r - 1] if r else 0 : ends[r]].tobytes(), np.array(numbers[at + r], np.int64).tobytes()
+                    for x in places[at + r]:
+                        for c, v in zip(out, (at + r, x["bucket"], x["pair"], x["side"], raw, own), strict=True):
+                            c.append(v)
+                        size += len(raw) + len(own)
+                        if size > DEALT_BYTES:
+                            yield rows_of(ids, out)
+                            out, size = [[], [], [], [], [], []], 0
                 yield rows_of(ids, out)
 
     def rows_of(ids: pa.Array, out: list[list]) -> pa.RecordBatch:
@@ -309,29 +397,21 @@ def verified(docs: DataFrame, member: DataFrame, threshold: float, width: int) -
         return pa.RecordBatch.from_arrays([ids.take(pa.array(out[0], pa.int64())), *(pa.array(c, k) for c, k in zip(out[1:], kinds, strict=True))], ["doc_id", "bucket", "pair", "side", "shingles", "buckets"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
         found: list[tuple] = []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "bucket", "pair", "side", "shingles", "buckets")]
-            for doc_id, bucket, pair, side, raw, numbers in zip(*columns, strict=True):
-                if group and (group[0]["bucket"], group[0]["pair"]) != (bucket, pair):
-                    found += compared(group, threshold)
-                    group = []
-                group.append({"doc_id": doc_id, "bucket": bucket, "pair": pair, "side": side, "set": np.frombuffer(raw, np.uint64), "buckets": np.frombuffer(numbers, np.int64)})
+        for group in groups(batches):
+            if len(group) > 1:
+                found += compared([g | {"set": np.frombuffer(g["shingles"], np.uint64), "buckets": np.frombuffer(g["buckets"], np.int64)} for g in group], threshold)
             if len(found) > 20_000:
                 yield links_of(found)
                 found = []
-        if group:
-            found += compared(group, threshold)
         yield links_of(found)
 
     def links_of(found: list[tuple]) -> pa.RecordBatch:
         ids, counts, others = zip(*found, strict=True) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa_kind), pa.array(counts, pa.int64()), pa.array(others, pa_kind)], ["doc_id", "links", "other"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(counts, pa.int64()), pa.array(others, id_type)], ["doc_id", "links", "other"])
 
-    pa_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    spread = chosen.mapInArrow(dealt, f"doc_id {kind}, bucket bigint, pair bigint, side int, shingles binary, buckets binary")
-    return spread.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "doc_id").mapInArrow(judged, f"doc_id {kind}, links bigint, other {kind}")
+    rows = chosen.mapInArrow(released(spread), f"doc_id {kind}, bucket bigint, pair bigint, side int, shingles binary, buckets binary")
+    return rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "doc_id").mapInArrow(released(judged), f"doc_id {kind}, links bigint, other {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -367,14 +447,15 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
         marked = stored(signatures(docs, functions, threshold, width), "signatures")
     classes = stored(marked.groupBy("low", "high", "n").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies")), "classes")
     # a class with many copies is joined back by broadcast: there are at most a thousand of over a thousandth of all rows
-    share = max(10_000, marked.count() // 1000)
+    share = max(500, marked.count() // 1000)
     key = ["low", "high", "n"]
-    some = marked.select("doc_id", *key, "taken")
+    some = marked.select("doc_id", *key, "taken", "sketch")
     large = F.broadcast(classes.where(F.col("copies") > share).select(*key, "rep_id"))
     one = some.join(large, key).unionByName(some.join(large, key, "left_anti").join(classes.where(F.col("copies") <= share).select(*key, "rep_id"), key))
-    rows = stored(one.select("doc_id", "rep_id", "n", F.when(F.col("doc_id") == F.col("rep_id"), F.col("taken")).alias("taken")), "rows")
-    member = stored(buckets(rows.where("doc_id = rep_id AND n > 0"), runs, threshold), "members")
-    links = stored(verified(docs, member, threshold, width), "links")
+    rows = stored(one.select("doc_id", "rep_id", "n", *(F.when(F.col("doc_id") == F.col("rep_id"), F.col(c)).alias(c) for c in ("taken", "sketch"))), "rows")
+    sets = rows.where("doc_id = rep_id AND n > 0").select("doc_id", "n", "taken", "sketch")
+    member = stored(buckets(sets, runs, functions), "members")
+    links = stored(verified(docs, sets, member, threshold, width), "links")
     total = links.groupBy(F.col("doc_id").alias("rep_id")).agg(F.sum("links").alias("n_links"))
     known = total.join(components(links).withColumnRenamed("doc_id", "rep_id"), "rep_id", "left")
     # few documents have links; those with a class of many copies are again joined by broadcast

@@ -1,7 +1,9 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prudence.llm import jaccard_join as J
 
@@ -61,6 +63,7 @@ def test_equals_brute_force(spark, rows, clash):
 def test_split_buckets_and_blocks_give_the_same(spark, rows, clash, monkeypatch):
     monkeypatch.setattr(J, "SMALL", 4)
     monkeypatch.setattr(J, "BLOCK", 7)
+    monkeypatch.setattr(J, "FEW", 0)
     check(spark, rows, clash)
 
 
@@ -80,7 +83,7 @@ def test_split_pairs_need_no_consecutive_functions(spark, monkeypatch):
     shared = {0: 1, 2: 2, 4: 3}
     sets = spark.createDataFrame([(i, 50, [(k, shared.get(k, 1000 * (i + 1) + k)) for k in range(12)]) for i in range(10)], "doc_id long, n long, taken array<struct<run: int, token: bigint>>")
     met = {}
-    for r in J.buckets(sets, 12).collect():
+    for r in J.buckets(sets, 12, 12).collect():
         met.setdefault(r.bucket, set()).add(r.doc_id)
     assert set(range(10)) in met.values()
 
@@ -94,10 +97,64 @@ def test_functions_reach_the_recall_for_split_buckets():
     assert sum(sum(a) < J.DEPTH or not any(a[:12]) for a in agreed) <= 3
 
 
+def sketched(sets):
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    return [x.tobytes() for x in J.sketches(row, np.concatenate([np.sort(x) for x in sets]), len(sets))]
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    rng, agreeing = np.random.default_rng(4), J.least_agreeing(0.8)
+    far = 0
+    for n in (6, 20, 90, 400, 3000):
+        for _ in range(200):
+            common = rng.integers(0, 2**63, round(n * 0.8), np.uint64)
+            rest = rng.integers(0, 2**63, n - len(common), np.uint64)
+            other = rng.integers(0, 2**63, n, np.uint64)
+            spread = lambda x: J.mixed(x * np.uint64(2) + np.uint64(1))
+            pair = [spread(np.concatenate([common, rest])), spread(common), spread(other)]
+            group = [{"bucket": 9, "side": 2, "n": len(p), "numbers": [9], "sketch": x} for p, x in zip(pair, sketched(pair), strict=True)]
+            assert J.hopeful_few(group[:2], agreeing, 0.8) == J.hopeful_many(group[:2], agreeing, 0.8) == [0, 1]
+            far += bool(J.hopeful_few([group[0], group[2]], agreeing, 0.8))
+    assert far < 100
+
+
 def test_a_pair_stays_in_the_first_of_its_buckets():
-    k = lambda run: run << J.KEY_BITS | 5
-    assert J.partnered([k(1)], [10, 9], [[], []], 0.8) == [0, 1]
-    assert J.partnered([k(1)], [10, 7], [[], []], 0.8) == []
-    assert J.partnered([k(1)], [10, 10], [[k(0)], [k(0)]], 0.8) == []
-    assert J.partnered([k(1), k(4)], [10, 10, 10], [[k(1), k(2)], [k(1), k(2)], [k(1)]], 0.8) == [0, 1, 2]
-    assert J.partnered([k(1), k(4)], [10, 10], [[k(1), k(2)], [k(1), k(2)]], 0.8) == []
+    agreeing = J.least_agreeing(0.8)
+    (sketch,) = sketched([J.mixed(np.arange(1, 100, dtype=np.uint64))])
+
+    def left(sizes, numbers, sides=None):
+        group = [{"bucket": 9, "side": side, "n": n, "numbers": sorted([*x, 9]), "sketch": sketch} for n, x, side in zip(sizes, numbers, sides or [2] * len(sizes), strict=True)]
+        few, many = J.hopeful_few(group, agreeing, 0.8), J.hopeful_many(group, agreeing, 0.8)
+        assert few == many
+        return few
+
+    assert left([10, 9], [[], []]) == [0, 1] and left([10, 7], [[], []]) == []
+    assert left([10, 10], [[3], [3]]) == [] and left([10, 10], [[3], [11]]) == [0, 1] and left([10, 10], [[11], [11]]) == [0, 1]
+    assert left([10, 10, 10], [[3], [3], []]) == [0, 1, 2] and left([10, 10, 10], [[], [], []], [0, 0, 1]) == [0, 1, 2]
+    assert left([10, 10], [[], []], [0, 0]) == []
+
+
+def test_measured_recall_where_all_buckets_are_split(spark, monkeypatch):
+    """Pairs just above the threshold among texts with one long passage in common, so that every bucket is split: nearly all links are found."""
+    monkeypatch.setattr(J, "SMALL", 6)
+    rng = random.Random(17)
+    vocab = [f"u{i}" for i in range(3000)]
+    passage = rng.choices(vocab, k=45)
+    rows = []
+    for g in range(150):
+        own = rng.choices(vocab, k=60)
+        for k in range(2):
+            rows.append((2 * g + k, " ".join([*own[k * 6 :], *passage])))
+    want = sum(x[2] for x in brute(rows).values())
+    got = sum(r.n_links for r in J.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert want >= 200 and 0.99 * want <= got <= want
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(12,0)", "smallint"])
+def test_ids_of_any_kind(spark, kind):
+    rows = [(i, " ".join(f"w{(k * (1 + i // 2)) % 97}" for k in range(60)) + " end" * (i % 2)) for i in range(8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {r.doc_id: (r.class_id, r.n_links) for r in J.similar_documents(df).collect()}
+    got = J.similar_documents(df.withColumn("doc_id", F.col("doc_id").cast(kind)))
+    assert dict(got.dtypes)["doc_id"] == kind and {int(r.doc_id): (int(r.class_id), r.n_links) for r in got.collect()} == want
+    assert any(n for _, n in want.values())
