@@ -10,14 +10,14 @@ plain way.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -29,21 +29,19 @@ def byte_alphabet() -> dict[str, int]:
 
 class TextEncoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
-        self.fast = self._fast_bpe(spec)
         self.n_bytes = None
-        if self.fast is not None:
-            size = self.whole.get_vocab_size()
-            self.n_bytes = np.zeros(size, np.int64)
-            for token, i in self.ranks.items():
-                self.n_bytes[i] = len(token)
-            for t in spec.get("added_tokens", []):
-                self.n_bytes[t["id"]] = len(t["content"].encode())
+        self.fast = self._fast_bpe(spec)
+
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, which is read when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _fast_bpe(self, spec: dict):
         """A quicker encoder with the same ids, or None if this vocabulary allows none."""
@@ -60,8 +58,14 @@ class TextEncoder:
 
         alphabet = byte_alphabet()
         special = {t["content"] for t in spec.get("added_tokens", [])}
-        self.ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        return tiktoken.Encoding("column", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        own = {t["id"]: len(t["content"].encode()) for t in spec.get("added_tokens", [])}
+        self.n_bytes = np.zeros(max([*ranks.values(), *own]) + 1, np.int64)
+        for token, i in ranks.items():
+            self.n_bytes[i] = len(token)
+        for i, size in own.items():
+            self.n_bytes[i] = size
+        return tiktoken.Encoding("column", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of one text."""

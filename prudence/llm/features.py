@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
+from collections.abc import Callable, Iterator
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,7 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Bytes of text that are taken at a time.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 4_000_000
+#: What is left out of words: neither letters nor apostrophes.
+MARKS = re.compile(r"[^\w'\n]+|[\d_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -18,6 +25,22 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def released(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The step, after whose last batch the worker gives freed memory back to the machine, since workers outlive a stage."""
+
+    @wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers over their range."""
     x = (x ^ (x >> np.uint64(31))) * MIX
@@ -59,9 +82,9 @@ class Grams:
     """Characters of words in lower case between marks, and hashes of the character n-grams that start at each place."""
 
     def __init__(self, words: list[str]):
-        self.shown = ["".join(c for c in w.lower() if c.isalpha() or c == "'") for w in words]
-        self.lettered = np.array([any(map(str.isalpha, w)) for w in self.shown], bool)
-        joined = "".join(f"^{w}$" for w in self.shown)
+        self.shown = MARKS.sub("", "\n".join(words).lower()).split("\n") if words else []
+        self.lettered = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in self.shown], bool)
+        joined = "^" + "$^".join(self.shown) + "$" if words else ""
         self.chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         self.size = np.array([len(w) + 2 for w in self.shown], np.int64)
         self.begin = np.cumsum(self.size) - self.size

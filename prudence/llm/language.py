@@ -2,38 +2,64 @@
 
 Each word has affix, character n-gram and lexicon features, hashed into one weight table; neighbouring words share
 learned transitions. Forward-backward gives each word's posterior, so that code-switched text is labelled word by
-word; a document's language is the one with the most posterior mass over its words that have letters.
+word; a document's language is the one with the most posterior mass over its words that have letters. Chains are
+independent, so a text of any length is labelled a bounded run of chains at a time and its mass is added up.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prudence.llm.features import Grams, Words, held_out, slices
+from prudence.llm.features import Grams, Words, held_out, released, slices
 
 TABLE = 1 << 17
 #: Words of a chain. Longer texts are chains end to end, all of whose words count.
 CHAIN = 32
-#: Bytes of text that are labelled at a time; a byte takes about 100 bytes of memory.
-SLICE_BYTES = 1_500_000
-#: Bound of the training sample: documents, and chains of each, spread over its whole text.
-TRAIN_DOCS, TRAIN_CHAINS = 4000, 2
+#: Bytes of text that are labelled at a time; a byte takes about 100 bytes of memory. A longer text is cut between chains.
+SLICE_BYTES = 1_000_000
+#: Characters after which a run without white space is cut into several words.
+LONGEST_WORD = 1000
+#: Bounds of the training sample: documents of each language, of all, and chains of each, spread over its whole text.
+LANGUAGE_DOCS, TRAIN_DOCS, TRAIN_CHAINS = 1000, 20_000, 2
 STEPS, RATE, L2 = 30, 0.15, 1e-4
 LETTER_GRAMS = (2, 3, 4)
 UNDETERMINED = "und"
 
 
-def emissions(words: list[str], table: np.ndarray, lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list]:
-    """Score of each label for each word (0 for words without letters), whether it has letters, and its (word, slot) features."""
-    grams = Grams(words)
+def cut_words(text: str) -> str:
+    """The text, with a space after every LONGEST_WORD characters that have none."""
+    return re.sub(rf"(\S{{{LONGEST_WORD}}})(?=\S)", r"\1 ", text)
+
+
+def runs_of_chains(text: str, most: int) -> Iterator[str]:
+    """Cut a text into parts of about `most` characters, each but the last of whole chains."""
+    at = 0
+    while at < len(text):
+        end = at + most
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        part = text[at:end]
+        words = part.split()
+        over = len(words) % CHAIN
+        if end < len(text) and 0 < over < len(words):
+            part = part.rsplit(None, over)[0]
+        yield part
+        at += len(part)
+
+
+def emissions(grams: Grams, table: np.ndarray, lexicon: dict[str, int]) -> tuple[np.ndarray, list]:
+    """Score of each label for each word (0 for words without letters) and its (word, slot) features."""
+    words = grams.shown
     parts = [grams.hashes(n) for n in LETTER_GRAMS]
-    known = np.array([lexicon.get(w, -1) for w in grams.shown], np.int64)
+    known = np.array([lexicon.get(w, -1) for w in words], np.int64)
     which = np.flatnonzero(known >= 0)
     parts.append((which, known[which].astype(np.uint64) * np.uint64(1 << 40)))
     word = np.concatenate([p[0] for p in parts])
@@ -42,7 +68,7 @@ def emissions(words: list[str], table: np.ndarray, lexicon: dict[str, int]) -> t
     word, slot = word[keep], slot[keep]
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(word, minlength=len(words))))
     out = np.stack([np.bincount(word, table[slot, k] * scale[word], minlength=len(words)) for k in range(table.shape[1])], 1) if len(words) else np.zeros((0, table.shape[1]))
-    return out, grams.lettered, [word, slot, scale]
+    return out.astype(np.float32), [word, slot, scale]
 
 
 def forward_backward(e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,16 +76,16 @@ def forward_backward(e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tup
     n, t, k = e.shape
     top = e.max(2, keepdims=True)
     p = np.exp(e - top)
-    a = np.exp(trans)
-    alpha, scale = np.empty_like(p), np.empty((n, t))
-    now = p[:, 0] * np.exp(start)
+    a = np.exp(trans).astype(e.dtype)
+    alpha, scale = np.empty_like(p), np.empty((n, t), e.dtype)
+    now = p[:, 0] * np.exp(start).astype(e.dtype)
     for i in range(t):
         if i:
             now = (now @ a) * p[:, i]
         scale[:, i] = now.sum(1)
         now = now / scale[:, i, None]
         alpha[:, i] = now
-    beta = np.ones((n, k))
+    beta = np.ones((n, k), e.dtype)
     post, pairs = np.empty_like(p), np.zeros((k, k))
     for i in range(t - 1, -1, -1):
         post[:, i] = alpha[:, i] * beta
@@ -71,32 +97,45 @@ def forward_backward(e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tup
 
 
 class Model:
-    """Languages, the table of weights, transitions and start scores, and the lexicon."""
-
-    def __init__(self, labels: list[str], table: np.ndarray, trans: np.ndarray, start: np.ndarray, lexicon: dict[str, int]):
-        self.labels, self.table, self.trans, self.start, self.lexicon = labels, table, trans, start, lexicon
-
-    def documents(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, posterior mass by language, number of words with letters) for slices of a column."""
-        k = len(self.labels)
+    """Languages, the table of weights, transitions and start scores, the lexicon, and hashes of all letter pairs of the sample in order."""
+
+    def __init__(self, labels: list[str], table: np.ndarray, trans: np.ndarray, start: np.ndarray, lexicon: dict[str, int], letter_pairs: np.ndarray):
+        self.labels, self.table, self.trans, self.start, self.lexicon, self.letter_pairs = labels, table, trans, start, lexicon, letter_pairs
+
+    def masses(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: posterior mass by language, number of words with letters, and how many of those the sample's letter pairs make up, each word by its share."""
+        k, n = len(self.labels), len(part)
+        w = Words(part)
+        mass, counted, fits = np.zeros((n, k)), np.zeros(n), np.zeros(n)
+        if len(w.index):
+            grams = Grams(w.words)
+            scores, _ = emissions(grams, self.table, self.lexicon)
+            of, pair = grams.hashes(2)
+            near = np.minimum(np.searchsorted(self.letter_pairs, pair), len(self.letter_pairs) - 1)
+            known = np.bincount(of, self.letter_pairs[near] == pair, minlength=len(w.words)) / np.maximum(1, np.bincount(of, minlength=len(w.words)))
+            del of, pair, near
+            sizes = np.diff(w.starts)
+            chains = -(-sizes // CHAIN)
+            # each text fills chains of its own; the rest of its last one is padded and not counted
+            place = np.arange(len(w.index)) - np.repeat(w.starts[:-1], sizes) + np.repeat((np.cumsum(chains) - chains) * CHAIN, sizes)
+            padded = np.zeros((int(chains.sum()) * CHAIN, k), np.float32)
+            padded[place] = scores[w.index]
+            counts = grams.lettered[w.index]
+            post = forward_backward(padded.reshape(-1, CHAIN, k), self.trans, self.start)[0].reshape(-1, k)[place]
+            for j in range(k):
+                mass[:, j] = np.bincount(w.row, post[:, j] * counts, minlength=n)
+            counted = np.bincount(w.row, counts, minlength=n)
+            fits = np.bincount(w.row, known[w.index] * counts, minlength=n)
+        return mass, counted, fits
+
+    def documents(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, then what masses() gives) for slices of a column."""
         for at, part in slices(texts, SLICE_BYTES):
-            w = Words(part)
-            n = len(part)
-            mass, counted = np.zeros((n, k)), np.zeros(n)
-            if len(w.index):
-                scores, lettered, _ = emissions(w.words, self.table, self.lexicon)
-                sizes = np.diff(w.starts)
-                chains = -(-sizes // CHAIN)
-                # each text fills chains of its own; the rest of its last one is padded and not counted
-                place = np.arange(len(w.index)) - np.repeat(w.starts[:-1], sizes) + np.repeat((np.cumsum(chains) - chains) * CHAIN, sizes)
-                counts = lettered[w.index]
-                padded = np.zeros((int(chains.sum()) * CHAIN, k))
-                padded[place] = scores[w.index]
-                post = forward_backward(padded.reshape(-1, CHAIN, k), self.trans, self.start)[0].reshape(-1, k)[place]
-                for j in range(k):
-                    mass[:, j] = np.bincount(w.row, post[:, j] * counts, minlength=n)
-                counted = np.bincount(w.row, counts, minlength=n)
-            yield at, mass, counted
+            if len(part) == 1 and len(part[0].as_buffer()) > SLICE_BYTES:
+                parts = (self.masses(pa.array([x], pa.large_string())) for x in runs_of_chains(cut_words(part[0].as_py()), SLICE_BYTES))
+                yield at, *map(sum, zip(*parts, strict=True))
+            else:
+                yield at, *self.masses(part)
 
 
 def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
@@ -124,7 +163,8 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
     lexicon = {w: int(c.argmax()) for w, c in by_word.items() if c.sum() >= 3 and c.max() >= 0.9 * c.sum()}
 
     table, trans, start = np.zeros((TABLE, k)), np.zeros((k, k)), np.zeros(k)
-    _, lettered, (word, slot, scale) = emissions(words.tolist(), table, lexicon)
+    grams = Grams(words.tolist())
+    _, (word, slot, scale) = emissions(grams, table, lexicon)
     used, local = np.unique(slot, return_inverse=True)
     theta = np.zeros((len(used), k))
     sizes = np.array([len(c[0]) for c in chains], np.int64)
@@ -157,41 +197,48 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
             m[1] = 0.99 * m[1] + 0.01 * g * g
             x -= RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
     table[used] = theta
-    return Model(labels, table.astype(np.float32), trans, start, lexicon)
+    return Model(labels, table.astype(np.float32), trans, start, lexicon, np.unique(grams.hashes(2)[1]))
 
 
 def training_chains(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most TRAIN_CHAINS chains of words from each of TRAIN_DOCS documents that aren't held out, by hash of the id."""
-    open_ids = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"))
-    chosen = open_ids.distinct().orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS)
-    taken = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    """At most TRAIN_CHAINS chains of words from each of LANGUAGE_DOCS documents a language that aren't held out, by hash of the id.
+
+    Of many languages, each gets as many documents as leave TRAIN_DOCS in all, ten at least. Rows of one id and
+    language count once, with the largest text.
+    """
+    open_rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
+    languages = open_rows.select("_lang").distinct().count()
+    most = min(LANGUAGE_DOCS, max(10, TRAIN_DOCS // max(1, languages)))
+    first = W.partitionBy("_lang").orderBy("_hash", "_id")
+    chosen = open_rows.withColumn("_hash", F.xxhash64("_id")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("_id", "_lang").distinct()
+    taken = docs.join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(lang_col) == F.col("_lang"))).groupBy("_id", "_lang").agg(F.max(F.col(text_col)).alias("text")).select(F.col("_id").cast("string").alias("id"), "text", F.col("_lang").alias("lang"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, chains = [], []
             for key, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = (text or "").split()
+                words = cut_words(text or "").split()
                 rng = np.random.default_rng(np.frombuffer((key or "").encode().ljust(8, b"\0"), np.uint8))
                 for at in sorted({int(x) for x in rng.integers(0, max(1, len(words) - CHAIN + 1), TRAIN_CHAINS)}):
                     langs.append(lang)
                     chains.append(" ".join(words[at : at + CHAIN]))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chains, pa.string())], ["lang", "chain"])
 
-    rows = taken.mapInArrow(cut, "lang string, chain string").orderBy("lang", "chain").limit(2 * TRAIN_CHAINS * TRAIN_DOCS).collect()
-    return [(r["lang"], r["chain"]) for r in rows if r["chain"]]
+    rows = taken.mapInArrow(cut, "lang string, chain string").collect()
+    return sorted((r["lang"], r["chain"]) for r in rows if r["chain"])
 
 
-def predicted(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, list[str]]:
-    """Language, score and mix of each text of a column."""
+def predicted(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """Language, score, mix and fit (share of the words that the sample's letter pairs make up) of each text of a column."""
     n = len(texts)
-    pred, score, mix = [UNDETERMINED] * n, np.zeros(n), ["{}"] * n
-    for at, mass, counted in model.documents(texts) if model else ():
+    pred, score, mix, fit = [UNDETERMINED] * n, np.zeros(n), ["{}"] * n, np.zeros(n)
+    for at, mass, counted, fits in model.documents(texts) if model else ():
         for row in np.flatnonzero(counted > 0):
             share = mass[row] / counted[row]
             best = int(share.argmax())
-            pred[at + row], score[at + row] = model.labels[best], min(1.0, float(share[best]))
+            pred[at + row], score[at + row], fit[at + row] = model.labels[best], min(1.0, float(share[best])), fits[row] / counted[row]
             mix[at + row] = json.dumps({lang: round(float(s), 6) for lang, s in zip(model.labels, share, strict=True)})
-    return pred, score, mix
+    return pred, score, mix, fit
 
 
 def trained(docs: DataFrame, id_col: str, text_col: str, lang_col: str):
@@ -211,21 +258,28 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, mix = predicted(shared.value, batch.column(2))
+            pred, score, mix, _ = predicted(shared.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score), pa.array(mix, pa.string())], ["doc_id", "held_out", "lang_pred", "score", "mix"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(labelled, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double, mix string")
+    return rows.mapInArrow(released(labelled), f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double, mix string")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose text has a language: not `und`, and at least least_score of its posterior mass on one language. Columns stay as they are."""
+def keep_identified(docs: DataFrame, over_even: float = 1.2, least_fit: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose text is in a known language. Columns stay as they are.
+
+    Left out are texts without a letter and null texts; texts whose best of k languages has less than over_even / k of
+    the posterior mass, so that none stands out (of one language, none is left out for this); and texts of which less
+    than least_fit is made up of letter pairs that the training sample has, such as those in another script. Nothing
+    is left if nothing can be learned from. Repeated rows and rows with a null id are judged each by its text.
+    """
     shared = trained(docs, id_col, text_col, lang_col)
     place = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, _ = predicted(shared.value, batch.column(place))
-            yield batch.filter(pa.array([p != UNDETERMINED and s >= least_score for p, s in zip(pred, score, strict=True)], pa.bool_()))
+            pred, score, _, fit = predicted(shared.value, batch.column(place))
+            least = min(1.0, over_even / len(shared.value.labels)) if shared.value else 1.0
+            yield batch.filter(pa.array([p != UNDETERMINED and s >= least - 1e-6 and f >= least_fit for p, s, f in zip(pred, score, fit, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(released(kept), docs.schema)

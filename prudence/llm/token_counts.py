@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prudence.llm.bpe import default_vocabulary, encoder
+from prudence.llm.features import released
 
 RULES = ("first", "last", "most", "share")
 
@@ -95,4 +96,4 @@ def section_token_counts(docs: DataFrame, separator: str = "\n", rule: str = "fi
                 )
 
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, section int, start_char bigint, end_char bigint, n_tokens {'double' if rule == 'share' else 'bigint'}, n_crossing bigint"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(counted, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(counted), schema)

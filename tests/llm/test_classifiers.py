@@ -72,6 +72,73 @@ def test_language_of_mixed_text_and_edges(spark, tables, edges):
     assert kept.columns == both.columns and kept.where("doc_id = 4 AND text = '123 !!'").count() == 0
 
 
+def small_model():
+    rng = random.Random(8)
+    words = {lang: [a + b for a in first for b in second] for lang, first, second in (("aa", ("ka", "lo", "mi"), ("ra", "le", "ni", "po")), ("bb", ("qu", "zh", "tk"), ("ix", "oy", "uw", "ev")))}
+    return words, language.train([(lang, " ".join(rng.choices(w, k=32))) for lang, w in words.items() for _ in range(60)])
+
+
+def test_long_texts_are_labelled_in_bounded_runs(monkeypatch):
+    import pyarrow as pa
+
+    words, model = small_model()
+    rng = random.Random(1)
+    text = "  ".join(rng.choice(words[rng.choice(["aa", "bb", "bb"])]) for _ in range(5000)) + " \n"
+    whole = [x[0] for x in list(model.documents(pa.array([text])))[0][1:]]
+    for most in (400, 1111, 20_000):
+        monkeypatch.setattr(language, "SLICE_BYTES", most)
+        parts = list(language.runs_of_chains(text, most))
+        assert "".join(parts) == text and len(parts) > 1 and all(len(p.split()) % language.CHAIN == 0 for p in parts[:-1])
+        _, mass, counted, fits = list(model.documents(pa.array([text])))[0]
+        assert counted[0] == whole[1] == 5000 and np.allclose(mass[0], whole[0], rtol=1e-4) and np.allclose(fits[0], whole[2])
+    assert max(map(len, language.cut_words("x" * 5500 + " y").split())) == language.LONGEST_WORD
+
+
+def test_memory_of_a_long_text_is_bounded():
+    """20 MB of one text in a process of its own: what is added to its memory stays below 15 bytes a byte, text and all."""
+    import subprocess
+    import sys
+
+    code = """
+import random, sys
+sys.path.insert(0, "tests/llm")
+import pyarrow as pa
+from test_classifiers import small_model
+from prudence.llm import language
+words, model = small_model()
+rng = random.Random(2)
+pool = [a + b for a in words["aa"] for b in words["bb"]]
+text = pa.array([" ".join(rng.choices(pool, k=2_300_000))])
+peak = lambda: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmHWM"))
+before = peak()
+got = language.predicted(model, text)
+print(len(text[0].as_py()), (peak() - before) * 1024, got[0][0])
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    size, added, label = out.stdout.split()
+    assert int(size) > 19_000_000 and int(added) < 300_000_000 and label in ("aa", "bb"), out.stderr
+
+
+def test_rare_languages_are_learned_and_other_scripts_rejected(spark, clash):
+    rng = random.Random(5)
+    words, _ = small_model()
+    say = lambda lang, k=40: " ".join(rng.choices(words[lang], k=k))
+    rows = [(i, say("aa"), "aa") for i in range(3000)] + [(5000 + i, say("bb"), "bb") for i in range(12)]
+    rows += [(6000, say("aa"), None), (6001, say("bb"), None), (6002, "\u0436\u0448 \u044f\u0439\u0446\u043e " * 40, None), (6003, None, None), (6004, say("aa", 20) + " " + say("bb", 20), None), (None, say("bb"), None)]
+    docs = clash(spark.createDataFrame(rows, "doc_id long, text string, lang string")).drop("lang_pred", "held_out", "score")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs).where("doc_id >= 5000 OR doc_id IS NULL").collect()}
+    assert got[6000] == "aa" and got[6001] == got[None] == "bb" and all(got[5000 + i] == "bb" for i in range(12))
+    kept = language.keep_identified(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.where("doc_id >= 6000 OR doc_id IS NULL").collect()} - {6004} == {6000, 6001, None}
+
+
+def test_repeated_rows_do_not_crowd_out_a_language(spark):
+    words, _ = small_model()
+    rows = [(1, " ".join(words["aa"] * 4), "aa")] * 3000 + [(i, " ".join(words["bb"] * 4), "bb") for i in range(2, 30)]
+    chains = language.training_chains(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert {lang for lang, _ in chains} == {"aa", "bb"} and sum(lang == "aa" for lang, _ in chains) <= 2
+
+
 def test_isotonic_equals_brute_force():
     rng = random.Random(2)
     x, y = np.array([rng.random() for _ in range(60)]), np.array([float(rng.random() < 0.5) for _ in range(60)])
