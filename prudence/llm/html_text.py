@@ -18,22 +18,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of HTML: elements whose content is never text, elements that stand in a line, and furniture.
-SILENT = "script style noscript template svg math title textarea select option button iframe object canvas audio video datalist"
+SILENT = "script style noscript template svg title textarea select option button iframe object canvas audio video datalist"
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 FURNITURE = "nav footer aside form menu dialog fieldset"
 CONTENT = "article main"
 #: Whole words of class, id and role that mark furniture.
 HINTS = (
-    "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies "
+    "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies "
     "copyright discussion disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification "
     "pager pagination popup promo promotion promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor "
     "sponsored subscribe subscription teaser toc toolbar alert complementary"
 )
+#: Inline elements that break no sentence: they score nothing, so that a picture or an emphasis can't cut off the words beside it.
+QUIET = "abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strong sub sup time u var wbr"
+_BLOCKS = frozenset(("section", "div", "article", "main"))
+_QUIET = frozenset(x for name in QUIET.split() for x in (name, "/" + name))
 _SILENT, _INLINE, _VOID, _FURNITURE, _CONTENT, _HINTS = (frozenset(x.split()) for x in (SILENT, INLINE, VOID, FURNITURE, CONTENT, HINTS))
 
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<silent>{'|'.join(_SILENT)})\b[^>]*?(?:/>|>.*?(?:</(?P=silent)\s*>|\Z))"
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<silent>{'|'.join(_SILENT)})\b(?:[^>]*+\Z|[^>]*+(?<=/)>|[^>]*+>.*?(?:</(?P=silent)\s*>|\Z))"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|</?[a-zA-Z!?][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -103,6 +107,8 @@ def marked_units(page: str, free: set[int], held: dict[int, list[int]]) -> list[
     """(kind, number of words or 1, text, inside furniture) along the page; kinds: word, link, and tags by name. Where the page has an article or main element, kinds outside it end in ~. Hints of the tags numbered in free don't count; held gets, for each tag whose hint makes furniture of what wasn't, the words and article or main elements lost."""
     out: list[tuple[str, int, str, bool]] = []
     stack: list[tuple[str, bool, bool, int]] = []  # name, furniture, content, number of the tag by whose hint it is furniture or -1
+    standing: Counter[str] = Counter()  # open elements by name, so that stray closing tags cost no search
+    boxed = 0  # open blocks that are furniture
     links, inside = 0, False
     for number, (kind, text) in enumerate(pieces(page)):
         if kind == "":
@@ -120,9 +126,12 @@ def marked_units(page: str, free: set[int], held: dict[int, list[int]]) -> list[
             name = kind[1:]
             if name == "a":
                 links = max(0, links - 1)
-            if name not in _INLINE and any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if name not in _INLINE and standing[name]:
+                shut = ""
+                while shut != name:
+                    shut, hidden = stack.pop()[:2]
+                    standing[shut] -= 1
+                    boxed -= hidden and shut in _BLOCKS
             out.append((kind, 1, "", bool(stack) and stack[-1][1]))
         else:
             if kind == "a":
@@ -130,7 +139,7 @@ def marked_units(page: str, free: set[int], held: dict[int, list[int]]) -> list[
             furniture, inside, owner = stack[-1][1:] if stack else (False, False, -1)
             marked = kind not in ("body", "html") and number not in free and hinted(text)
             if kind in _CONTENT and not marked:
-                if furniture and not any(x[0] in ("section", "div", "article", "main") and x[1] for x in stack):
+                if furniture and not boxed:
                     furniture, owner = False, -1  # furniture that was never closed ends where the content begins
                 inside = True
             if marked and not furniture and kind not in _FURNITURE and kind != "header":
@@ -141,6 +150,8 @@ def marked_units(page: str, free: set[int], held: dict[int, list[int]]) -> list[
             furniture = furniture or marked or kind in _FURNITURE or kind == "header" and not inside
             if kind not in _INLINE and kind not in _VOID and kind not in ("p", "li", "dt", "dd", "tr", "td", "th") or marked and kind in ("p", "li", "td"):
                 stack.append((kind, furniture, inside, owner))
+                standing[kind] += 1
+                boxed += furniture and kind in _BLOCKS
             links = 0 if kind in _CONTENT else links
             out.append((kind, 1, "", furniture))
         if out and out[-1][0]:
@@ -190,7 +201,7 @@ def main_text(page: str | None) -> str:
     scores = []
     for kind, n, _, furniture in seen:
         name = kind.removesuffix("~")
-        s = 0.0 if not name else weight.get(name, tag) * n
+        s = 0.0 if not name or name in _QUIET else weight.get(name, tag) * n
         if furniture:
             # furniture inside the main text costs its tags, not its words, so that it doesn't cut the text in two
             s = min(s, 0.0) * 0.25
@@ -198,6 +209,12 @@ def main_text(page: str | None) -> str:
             s = -s  # a page that marks its article has no main text elsewhere
         scores.append(s)
     a, b = best_region(scores)
+    if any(k.endswith("~") for k, *_ in seen):
+        # the region is part of an article or main element, all of which belongs to it
+        while 0 < a < b and not seen[a - 1][0].endswith("~"):
+            a -= 1
+        while a < b < len(seen) and not seen[b][0].endswith("~"):
+            b += 1
     out = []
     for kind, _, text, furniture in seen[a:b]:
         if text and not furniture:

@@ -49,3 +49,26 @@ def test_edges(spark, clash):
 )
 def test_hints_do_not_remove_the_article(page):
     assert main_text(page) == WANT
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><nav><a>one</a></nav><article class='share'>{ARTICLE}</article>", WANT),
+        (f"<body><article><div class='article-header'><h1>Flood</h1></div><p class='byline'>By A. Writer</p>{ARTICLE}</article>", "Flood By A. Writer " + WANT),
+        (f"<body><article><p>Let <math><mi>x</mi></math> be it.</p>{ARTICLE}</article>", "Let x be it. " + WANT),
+        (f"<body><nav><a>one</a></nav><article><p>foo<img src=a>bar went on and on.</p>{ARTICLE}</article>", "foo bar went on and on. " + WANT),
+        (f"<body><nav><a>one</a></nav><article>{ARTICLE}</p><p><a href=x>The whole report is here</a></p><p>It ends.</p></article><footer>us</footer>", WANT + " The whole report is here It ends."),
+    ],
+)
+def test_nothing_of_the_article_is_lost(page, want):
+    assert main_text(page) == want
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<script " * 80_000, "<div>" * 40_000 + "</p></section>" * 40_000 + "words of it", "<style a" * 50_000 + ">", "<!-- " * 80_000, "<a <b " * 60_000):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 8
