@@ -25,6 +25,14 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def give_back() -> None:
+    """Give freed memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def released(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """The step, after whose last batch the worker gives freed memory back to the machine, since workers outlive a stage."""
 
@@ -33,10 +41,7 @@ def released(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         try:
             yield from step(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prudence.llm.features import Grams, Words, held_out, released, slices
+from prudence.llm.features import Grams, Words, give_back, held_out, released, slices
 
 TABLE = 1 << 17
 #: Words of a chain. Longer texts are chains end to end, all of whose words count.
@@ -29,6 +29,10 @@ SLICE_BYTES = 1_000_000
 LONGEST_WORD = 1000
 #: Bounds of the training sample: documents of each language, of all, and chains of each, spread over its whole text.
 LANGUAGE_DOCS, TRAIN_DOCS, TRAIN_CHAINS = 1000, 20_000, 2
+#: Documents that a language gets at least, and with that the number of languages: of more, the commonest are learned.
+LEAST_DOCS = 10
+#: Chains of the training sample that are passed through at a time.
+TRAIN_BLOCK = 2048
 STEPS, RATE, L2 = 30, 0.15, 1e-4
 LETTER_GRAMS = (2, 3, 4)
 UNDETERMINED = "und"
@@ -150,25 +154,27 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
     for i, j in zip(order[::2], order[1::2], strict=False):
         cut = int(rng.integers(1, CHAIN))
         chains.append(tuple(np.concatenate([a[:cut], b[: CHAIN - cut]]) for a, b in zip(chains[i], chains[j], strict=True)))
-    words, index = np.unique(np.concatenate([c[0] for c in chains]).astype(str) if chains else np.zeros(0, str), return_inverse=True)
+    words = sorted({w for c in chains for w in c[0]})
+    number = {w: i for i, w in enumerate(words)}
+    index = np.fromiter((number[w] for c in chains for w in c[0]), np.int64)
     gold = np.concatenate([c[1] for c in chains]) if chains else np.zeros(0, np.int64)
     # lexicon: words that were seen three times or more, nine in ten of them in one language
-    shown = Grams(words.tolist()).shown
+    grams = Grams(words)
     seen = np.zeros((len(words), k))
     np.add.at(seen, (index, gold), 1)
     by_word: dict[str, np.ndarray] = {}
-    for w, counts in zip(shown, seen, strict=True):
+    for w, counts in zip(grams.shown, seen, strict=True):
         if w:
             by_word[w] = by_word.get(w, 0) + counts
     lexicon = {w: int(c.argmax()) for w, c in by_word.items() if c.sum() >= 3 and c.max() >= 0.9 * c.sum()}
 
     table, trans, start = np.zeros((TABLE, k)), np.zeros((k, k)), np.zeros(k)
-    grams = Grams(words.tolist())
     _, (word, slot, scale) = emissions(grams, table, lexicon)
     used, local = np.unique(slot, return_inverse=True)
     theta = np.zeros((len(used), k))
     sizes = np.array([len(c[0]) for c in chains], np.int64)
     n = len(chains)
+    del chains, number, by_word, seen
     place = np.arange(len(index)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(np.arange(n) * CHAIN, sizes)
     gold_pairs = np.zeros((k, k))
     if len(gold) > 1:
@@ -182,8 +188,12 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
         scores = np.stack([np.bincount(word, theta[local, j] * value, minlength=len(words)) for j in range(k)], 1) if len(words) else np.zeros((0, k))
         padded = np.zeros((n * CHAIN, k))
         padded[place] = scores[index]
-        post, pairs, _ = forward_backward(padded.reshape(n, CHAIN, k), trans, start) if n else (np.zeros((0, CHAIN, k)), np.zeros((k, k)), None)
-        post = post.reshape(-1, k)
+        post, pairs = np.zeros((n * CHAIN, k)), np.zeros((k, k))
+        for at_chain in range(0, n, TRAIN_BLOCK):
+            block = slice(at_chain * CHAIN, (at_chain + TRAIN_BLOCK) * CHAIN)
+            own, counts, _ = forward_backward(padded[block].reshape(-1, CHAIN, k), trans, start)
+            post[block] = own.reshape(-1, k)
+            pairs += counts
         miss = post[place]
         miss[np.arange(len(gold)), gold] -= 1
         by_word_grad = np.stack([np.bincount(index, miss[:, j], minlength=len(words)) for j in range(k)], 1) if len(words) else np.zeros((0, k))
@@ -203,14 +213,20 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
 def training_chains(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
     """At most TRAIN_CHAINS chains of words from each of LANGUAGE_DOCS documents a language that aren't held out, by hash of the id.
 
-    Of many languages, each gets as many documents as leave TRAIN_DOCS in all, ten at least. Rows of one id and
-    language count once, with the largest text.
+    Of many languages, each gets as many documents as leave TRAIN_DOCS in all, LEAST_DOCS at least, and of more than
+    TRAIN_DOCS / LEAST_DOCS languages the commonest are taken. Rows of one id and language count once, with the
+    largest text. Ids whose hash is beyond a limit, taken from the language's number of ids so that some more than
+    enough lie below it, are left out before anything is sorted, so that a language of any size sends few rows.
     """
     open_rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    languages = open_rows.select("_lang").distinct().count()
-    most = min(LANGUAGE_DOCS, max(10, TRAIN_DOCS // max(1, languages)))
+    known = open_rows.groupBy("_lang").agg(F.approx_count_distinct("_id", 0.02).alias("_ids")).orderBy(F.desc("_ids"), "_lang").limit(TRAIN_DOCS // LEAST_DOCS).collect()
+    if not known:
+        return []
+    most = min(LANGUAGE_DOCS, max(LEAST_DOCS, TRAIN_DOCS // len(known)))
+    limits = docs.sparkSession.createDataFrame([(r["_lang"], (1.2 * most + 100) / max(1, r["_ids"])) for r in known], "_known string, _limit double")
+    low = open_rows.withColumn("_hash", F.xxhash64("_id")).join(F.broadcast(limits), F.col("_lang") == F.col("_known")).where(F.col("_hash") / 2.0**64 + 0.5 <= F.col("_limit")).select("_id", "_lang", "_hash").distinct()
     first = W.partitionBy("_lang").orderBy("_hash", "_id")
-    chosen = open_rows.withColumn("_hash", F.xxhash64("_id")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("_id", "_lang").distinct()
+    chosen = low.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("_id", "_lang")
     taken = docs.join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(lang_col) == F.col("_lang"))).groupBy("_id", "_lang").agg(F.max(F.col(text_col)).alias("text")).select(F.col("_id").cast("string").alias("id"), "text", F.col("_lang").alias("lang"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +259,9 @@ def predicted(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarr
 
 def trained(docs: DataFrame, id_col: str, text_col: str, lang_col: str):
     samples = training_chains(docs, id_col, text_col, lang_col)
-    return docs.sparkSession.sparkContext.broadcast(train(samples) if samples else None)
+    model = docs.sparkSession.sparkContext.broadcast(train(samples) if samples else None)
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -139,6 +139,36 @@ def test_repeated_rows_do_not_crowd_out_a_language(spark):
     assert {lang for lang, _ in chains} == {"aa", "bb"} and sum(lang == "aa" for lang, _ in chains) <= 2
 
 
+def test_sample_takes_the_least_hashes_of_each_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGE_DOCS", 20)
+    rows = [(i, f"w{i}", "aa") for i in range(6000)] + [(10_000 + i, f"w{10_000 + i}", "bb") for i in range(15)] + [(7, "w7", "aa")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chains = language.training_chains(docs, "doc_id", "text", "lang")
+    order = docs.where(~language.held_out("doc_id")).distinct().orderBy(language.F.xxhash64("doc_id"), "doc_id").collect()
+    for lang in ("aa", "bb"):
+        assert {c for x, c in chains if x == lang} == {r.text for r in [r for r in order if r.lang == lang][:20]}
+
+
+def test_one_long_word_does_not_widen_the_training_words():
+    """A word of the greatest length among 60,000 others: what training adds to a process stays far below their number times that length."""
+    import subprocess
+    import sys
+
+    code = """
+import random
+from prudence.llm import language
+rng = random.Random(1)
+words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+rows = [("xy"[i % 2], " ".join(rng.choices(words, k=32))) for i in range(2000)] + [("x", "z" * 1000)]
+peak = lambda: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmHWM"))
+before = peak()
+language.train(rows)
+print((peak() - before) * 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert int(out.stdout) < 100_000_000, out.stderr
+
+
 def test_isotonic_equals_brute_force():
     rng = random.Random(2)
     x, y = np.array([rng.random() for _ in range(60)]), np.array([float(rng.random() < 0.5) for _ in range(60)])
