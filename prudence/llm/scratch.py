@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
 
-    Where it is unset (a single machine, as in tests) a temporary folder is made once and set for the session.
+    Where it is unset, a session of one machine (as in tests) gets a temporary folder, made once; on a cluster, whose
+    executors would each write to their own disk, this raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="prudence-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
