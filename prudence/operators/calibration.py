@@ -152,11 +152,12 @@ def select_thresholds(df: DataFrame, confidence: str = "confidence", correct: st
     return pairs.agg(F.min_by(F.struct(*pairs.columns), order).alias("m")).where("m IS NOT NULL").select("m.*")
 
 
-def alpha_grid(df: DataFrame, confidence: str = "confidence", other: str = "entailment", row_idx: str = "row_idx", correct: str = "correct", steps: int = 100) -> DataFrame:
-    """Area under the curve of confidence^alpha * other^(1 - alpha) for alpha = 0, 1/steps, ..., 1. Every row stands once for each alpha; ranks are dealt by alpha and score."""
+def alpha_grid(df: DataFrame, confidence: str = "confidence", other: str = "entailment", row_idx: str = "row_idx", correct: str = "correct", steps: int = 100, digits: int | None = None) -> DataFrame:
+    """Area under the curve of confidence^alpha * other^(1 - alpha) for alpha = 0, 1/steps, ..., 1, of scores rounded to `digits` if given, so that rounding errors don't part ties. Every row stands once for each alpha; ranks are dealt by alpha and score."""
     grid = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step")
     long = df.select(row_idx, correct, confidence, other, grid).withColumn("alpha", F.col("step") / F.lit(float(steps)))
-    long = long.select(row_idx, correct, "alpha", F.least(weighted_geometric_mean(F.col(confidence), F.col(other), F.col("alpha")), F.lit(1.0)).alias("score"))
+    fused = F.least(weighted_geometric_mean(F.col(confidence), F.col(other), F.col("alpha")), F.lit(1.0))
+    long = long.select(row_idx, correct, "alpha", (fused if digits is None else F.round(fused, digits)).alias("score"))
     return ranking.risk_coverage(long, ["alpha"], "score", row_idx, correct).groupBy("alpha").agg(F.avg("risk").alias("aurc"))
 
 

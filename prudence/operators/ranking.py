@@ -1,8 +1,9 @@
 """Ranked prefixes: risk-coverage curves and what is read off them.
 
-A global order would be one task. Rows are dealt into score buckets instead; a score that many rows share is a bucket
-of its own, dealt further by ranges of row_idx. Ranks and running sums are taken inside each part, and the parts' sums,
-a small table, give the offsets. Ties rank by row_idx.
+A global order would be one task. Rows are dealt into score cells instead, of equal width in log odds, so that scores
+crowded near 0 or 1 are told apart; a score that many rows share is a cell of its own, dealt further by ranges of
+row_idx, as many as its rows need. Ranks and running sums are taken inside each part, and the parts' sums, a small
+table, give the offsets. Ties rank by row_idx.
 """
 
 from __future__ import annotations
@@ -15,23 +16,31 @@ from pyspark.sql import functions as F
 
 from prudence.functions.values import ratio
 
-BUCKETS, TIE_PARTS, TIE_ROWS = 64, 16, 100_000
+#: Cells for each unit of log odds, the log odds beyond which scores share a cell, and rows of one score from which it is dealt further.
+CELLS, FARTHEST, TIE_ROWS = 1024, 40, 100_000
 EULER = 0.5772156649015329
 
 
-def ranked(df: DataFrame, by: Sequence[str] = ("method",), score: str = "score", row_idx: str = "row_idx", correct: str = "correct", buckets: int = BUCKETS, tie_rows: int = TIE_ROWS) -> DataFrame:
+def score_cell(score: Column, cells: int = CELLS) -> Column:
+    """A number that never falls as a score in [0, 1] falls: its place by log odds."""
+    odds = F.least(F.greatest(F.ln(1 - score) - F.ln(score), F.lit(-float(FARTHEST))), F.lit(float(FARTHEST)))
+    return F.when(score >= 1, -FARTHEST * cells - 1).when(score <= 0, FARTHEST * cells + 1).otherwise(F.floor(odds * cells))
+
+
+def ranked(df: DataFrame, by: Sequence[str] = ("method",), score: str = "score", row_idx: str = "row_idx", correct: str = "correct", cells: int = CELLS, tie_rows: int = TIE_ROWS) -> DataFrame:
     """Add answered (rank by falling score) and correct_answered (right rows up to it). Scores must lie in [0, 1]; others raise."""
     by = list(by)
     good = ~F.isnan(score) & F.col(score).between(0, 1)
-    bucket = F.when(good, F.floor((1 - F.col(score)) * buckets)).otherwise(F.raise_error(F.lit("scores must lie between 0 and 1")).cast("long"))
+    bucket = F.when(good, score_cell(F.col(score), cells)).otherwise(F.raise_error(F.lit("scores must lie between 0 and 1")).cast("long"))
     df = df.withColumn("_b", bucket).withColumn("_c", F.col(correct).cast("long"))
-    ties = df.groupBy(*by, "_b", score).count().where(F.col("count") > tie_rows).groupBy(*by, "_b").agg(F.collect_list(score).alias("_ties"))
+    ties = df.groupBy(*by, "_b", score).count().where(F.col("count") > tie_rows).groupBy(*by, "_b").agg(F.collect_list(F.struct(F.col(score).alias("v"), F.col("count").alias("n"))).alias("_ties"))
     reach = df.agg(F.min(row_idx).alias("_lo"), F.max(row_idx).alias("_hi"))
     # at most one score in tie_rows rows is tied that often, and the groups are few: both sides are small
     df = df.join(ties, [*by, "_b"], "left").join(F.broadcast(reach))
-    tied = F.coalesce(F.array_contains("_ties", F.col(score)), F.lit(False))
-    above = F.coalesce(F.size(F.filter("_ties", lambda t: t > F.col(score))), F.lit(0))
-    part = F.when(tied, F.floor((F.col(row_idx) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1).cast("double") * TIE_PARTS)).otherwise(0)
+    rows = F.get(F.filter("_ties", lambda t: t["v"] == F.col(score)), F.lit(0))["n"]
+    tied = rows.isNotNull()
+    above = F.coalesce(F.size(F.filter("_ties", lambda t: t["v"] > F.col(score))), F.lit(0))
+    part = F.when(tied, F.floor((F.col(row_idx) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1).cast("double") * F.ceil(rows / F.lit(float(tie_rows))))).otherwise(0)
     df = df.withColumn("_s", F.greatest(above, F.lit(0)) * 2 + tied.cast("int")).withColumn("_p", part).drop("_ties", "_lo", "_hi")
     key = [*by, "_b", "_s", "_p"]
     sums = df.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("_c").alias("_k"))

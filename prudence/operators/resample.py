@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from prudence.functions.values import ratio
 from prudence.operators.ranking import methods as long_methods
 
-#: Parts into which a hash order is dealt.
-PARTS = 64
+#: Hex digits by which a hash order is dealt into parts.
+DIGITS = 4
 
 
 def digest(seed: Column | int, key: str) -> Column:
@@ -27,8 +27,8 @@ def digest(seed: Column | int, key: str) -> Column:
 
 
 def hash_rank(df: DataFrame, by: Sequence[str], order: str, out: str = "place") -> DataFrame:
-    """Add the place (from 1) of each row by a hex digest, ties not expected. Digests are dealt by their first two digits; sums of the parts give the offsets."""
-    df = df.withColumn("_q", F.substring(order, 1, 2))
+    """Add the place (from 1) of each row by a hex digest, ties not expected. Digests are dealt by their first digits; sums of the parts give the offsets."""
+    df = df.withColumn("_q", F.substring(order, 1, DIGITS))
     sums = df.groupBy(*by, "_q").agg(F.count("*").alias("_n"))
     sums = sums.select(*by, "_q", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_n0"))
     df = df.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_q").orderBy(order)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prudence.functions import text as T
-from prudence.functions.values import gated, geometric_mean, sigmoid, signed_to_unit, weighted_geometric_mean
+from prudence.functions.values import gated, geometric_mean, sigmoid, signed_to_unit
 from prudence.operators import calibration, correctness, diagnostics, inference, labels, lookup, metrics, ranking, reports, resample, validate
 from prudence.plans import surrogate as S
 from prudence.plans import text_sql as X
@@ -109,11 +109,14 @@ def matched_coverage(spark, sf_dir):
     return ranking.matched_coverage(long(S.events(spark, sf_dir)), COVERAGES)
 
 
-@query(f"""WITH {S.WITH_P}, o AS (SELECT *, row_number() OVER (ORDER BY md5('17:' || row_idx), row_idx) AS place FROM p), z AS (SELECT o.*, sample_size FROM o, (SELECT unnest([20, 40, 80]) AS sample_size) WHERE place <= sample_size),
+@query(f"""WITH {S.WITH_P}, o AS (SELECT *, row_number() OVER (ORDER BY md5('17:' || row_idx), row_idx) AS place FROM p), z AS (SELECT o.*, sample_size FROM o, (SELECT unnest([200, 500, 1000, 2000, 3000]) AS sample_size) WHERE place <= sample_size AND sample_size <= (SELECT count(*) FROM p)),
     c AS (SELECT sample_size, row_number() OVER w AS a, sum(cast(correct AS int)) OVER (w ROWS UNBOUNDED PRECEDING) AS k FROM z WINDOW w AS (PARTITION BY sample_size ORDER BY confidence DESC, row_idx))
     SELECT sample_size, count(*) AS n, round(avg((a - k) / a), 9) AS aurc FROM c GROUP BY sample_size""")
 def nested_sample_sizes(spark, sf_dir):
-    nested = ranking.nested_samples(S.labels(spark, sf_dir), (20, 40, 80))
+    rows = S.labels(spark, sf_dir)
+    n = rows.count()
+    # sizes beyond the table are left out; of one smaller than all, nothing is left
+    nested = ranking.nested_samples(rows, [k for k in (200, 500, 1000, 2000, 3000) if k <= n] or [200]).where(F.col("sample_size") <= n)
     return ranking.risk_coverage(nested, ["sample_size"], "confidence").groupBy("sample_size").agg(F.count("*").alias("n"), F.avg("risk").alias("aurc"))
 
 
@@ -552,18 +555,18 @@ def threshold_search_full(spark, sf_dir):
 _FUSED = "CASE WHEN alpha = 1 THEN confidence WHEN alpha = 0 THEN entailment WHEN confidence = 0 OR entailment = 0 THEN 0.0 ELSE exp(alpha * ln(confidence) + (1 - alpha) * ln(entailment)) END"
 
 
-@query(f"""WITH {S.WITH_P}, g AS (SELECT cast(x AS double) / 20 AS alpha FROM range(21) r(x)), f AS (SELECT row_idx, correct, alpha, {_FUSED.replace('ln(confidence)', 'ln(nullif(confidence, 0))').replace('ln(entailment)', 'ln(nullif(entailment, 0))')} AS score FROM p, g),
-    c AS (SELECT alpha, row_number() OVER w AS a, sum(cast(correct AS int)) OVER (w ROWS UNBOUNDED PRECEDING) AS k FROM f WINDOW w AS (PARTITION BY alpha ORDER BY round(least(score, 1.0), 12) DESC, row_idx)) SELECT round(alpha, 9) AS alpha, round(avg((a - k) / a), 9) AS aurc FROM c GROUP BY alpha""")
+_GRID = f"""WITH {S.WITH_P}, g AS (SELECT cast(x AS double) / 100 AS alpha FROM range(101) r(x)), f AS (SELECT row_idx, correct, alpha, {_FUSED.replace('ln(confidence)', 'ln(nullif(confidence, 0))').replace('ln(entailment)', 'ln(nullif(entailment, 0))')} AS score FROM p, g),
+    c AS (SELECT alpha, row_number() OVER w AS a, sum(cast(correct AS int)) OVER (w ROWS UNBOUNDED PRECEDING) AS k FROM f WINDOW w AS (PARTITION BY alpha ORDER BY round(least(score, 1.0), 12) DESC, row_idx)), z AS (SELECT alpha, avg((a - k) / a) AS aurc FROM c GROUP BY alpha)"""
+
+
+@query(f"{_GRID} SELECT round(alpha, 9) AS alpha, round(aurc, 9) AS aurc FROM z")
 def alpha_grid(spark, sf_dir):
-    df = S.labels(spark, sf_dir)
-    grid = df.select("row_idx", "correct", "confidence", "entailment", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("step")).withColumn("alpha", F.col("step") / F.lit(20.0))
-    fused = F.round(F.least(weighted_geometric_mean(F.col("confidence"), F.col("entailment"), F.col("alpha")), F.lit(1.0)), 12)
-    return ranking.risk_coverage(grid.withColumn("score", fused), ["alpha"]).groupBy("alpha").agg(F.avg("risk").alias("aurc"))
+    return calibration.alpha_grid(S.labels(spark, sf_dir), digits=12)
 
 
-@query()
+@query(f"{_GRID} SELECT round(alpha, 9) AS alpha, round(aurc, 9) AS aurc FROM (SELECT alpha, round(aurc, 12) AS aurc FROM z) ORDER BY aurc, alpha DESC LIMIT 1")
 def best_alpha(spark, sf_dir):
-    return calibration.best_alpha(calibration.alpha_grid(S.labels(spark, sf_dir)))
+    return calibration.best_alpha(calibration.alpha_grid(S.labels(spark, sf_dir), digits=12).withColumn("aurc", F.round("aurc", 12)))
 
 
 # --- diagnostics -----------------------------------------------------------------------------------------------------
@@ -575,7 +578,10 @@ def rank_flips(spark, sf_dir):
     return diagnostics.rank_flips(df)
 
 
-@query()
+@query(f"""WITH {S.WITH_E}, f AS (SELECT correct, confidence AS a, sqrt(confidence * {_UNIT}) AS b FROM e), d AS (SELECT correct, a, b, count(*) AS n FROM f GROUP BY ALL),
+    k AS (SELECT sign(r.a - w.a) AS x, sign(r.b - w.b) AS y, cast(sum(r.n * w.n) AS bigint) AS n FROM d r JOIN d w ON r.correct AND NOT w.correct GROUP BY 1, 2),
+    t AS (SELECT coalesce(sum(n), 0) AS pairs, coalesce(sum(n) FILTER (x = -1 AND y = 1), 0) AS fixes, coalesce(sum(n) FILTER (x = 1 AND y = -1), 0) AS harms, sum(n) FILTER (x = -1) AS bad, sum(n) FILTER (x = 1) AS good FROM k)
+    SELECT cast(pairs AS bigint) AS pairs, cast(fixes AS bigint) AS fixes, cast(harms AS bigint) AS harms, round(fixes / bad, 9) AS fix_rate, round(harms / good, 9) AS harm_rate FROM t""")
 def rank_flip_summary(spark, sf_dir):
     df = S.events(spark, sf_dir).withColumn("fused", geometric_mean(F.col("confidence"), signed_to_unit(F.col("self_score"))))
     return diagnostics.flip_summary(diagnostics.rank_flips(df))

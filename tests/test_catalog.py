@@ -10,7 +10,7 @@ from prudence.plans import catalog
 DATA = "/root/testdata/sf0.001"
 SOME = [
     "normalized_aurc", "risk_coverage_with_zero", "matched_coverage", "threshold_sweep", "nearest_coverage_high", "best_method", "selective_metrics", "claim_validation", "lexical_evidence", "evidence_impact", "verify_impact",
-    "hybrid_ablation", "consistency", "calibration_bins", "threshold_search", "rank_flips", "pearson_spearman", "topk_examples", "multi_seed_summary", "windowed_counts",
+    "hybrid_ablation", "consistency", "calibration_bins", "threshold_search", "rank_flips", "pearson_spearman", "topk_examples", "multi_seed_summary", "windowed_counts", "alpha_grid", "best_alpha", "rank_flip_summary", "nested_sample_sizes", "stratified_split",
 ]
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -195,6 +196,27 @@ def test_correlations_without_variation_are_null(spark):
     assert rows["k"].pearson is None and rows["y"].spearman == pytest.approx(1.0)
 
 
+def test_average_rank_equals_brute_force(spark):
+    values = [None, float("nan"), -1e9, *(i % 1700 / 7 for i in range(4000)), *(1 - 1e-9 * i for i in range(50)), *[0.5] * 30]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "row_idx int, v double")
+    got = {r.row_idx: r.place for r in diagnostics.average_rank(df, "v", "place").collect()}
+    key = [(0, 0) if v is None else (2, 0) if v != v else (1, v) for v in values]
+    counts = Counter(key)
+    want, before = {}, 0
+    for k in sorted(counts):
+        want[k] = before + (counts[k] + 1) / 2
+        before += counts[k]
+    assert got == {i: want[k] for i, k in enumerate(key)}
+    assert diagnostics.average_rank(df.limit(0), "v", "place").count() == 0
+
+
+def test_cells_never_fall_as_scores_fall(spark):
+    scores = sorted({0.0, 1.0, 5e-324, 1e-300, 1 - 2**-53, *(i / 997 for i in range(998)), *(1 - 10.0**-k for k in range(1, 17)), *(10.0**-k for k in range(1, 20))}, reverse=True)
+    df = spark.createDataFrame([(s,) for s in scores], "s double").select("s", ranking.score_cell(F.col("s")).alias("cell"))
+    cells = [r.cell for r in sorted(df.collect(), key=lambda r: -r.s)]
+    assert cells == sorted(cells) and len(set(cells)) > 900
+
+
 def test_splits_and_samples(spark):
     df = spark.createDataFrame([(i, i % 2) for i in range(20)], "row_idx int, label int")
     out = resample.stratified_split(df, 0.5).groupBy("label", "split").count().collect()
