@@ -33,3 +33,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like stored(), with rows dealt into files by a hash of the key, so that later joins on it need no exchange of this side.
+
+    The table is registered in the session's catalog under a name of its own, since only there Spark keeps the buckets.
+    """
+    spark = df.sparkSession
+    own = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{own}").saveAsTable(own)
+    return spark.table(own)
