@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prudence.llm import centroids, decontamination, jaccard_join, licenses
+from prudence.llm import centroids, conversations, decontamination, jaccard_join, licenses
 from prudence.llm.exact_dedup import exact_dedup
 from prudence.llm.html_text import extract_text
 from prudence.llm.language import identify
@@ -60,11 +60,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_language_id, op4_decontamination, op5_html_text, op6_licenses, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_exact_dedup, op12_centroids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_language_id, op4_decontamination, op5_html_text, op6_licenses, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_exact_dedup, op11_conversation_repair, op12_centroids)}
 
 ORACLES: dict[str, str] = {
     "op4_decontamination": decontamination.oracle(),
@@ -77,5 +81,6 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
         FROM t""",
+    "op11_conversation_repair": conversations.oracle(),
     "op12_centroids": centroids.oracle(),
 }
