@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prudence.llm.crc_sql import crc32_tables
 from prudence.llm.features import released
 from prudence.llm.scratch import stored
 
@@ -286,18 +287,8 @@ def oracle() -> str:
     space = "e' \\t\\n\\x0b\\x0c\\r'"
     return f"""
 WITH RECURSIVE
-bits(i, k, c) AS (
-    SELECT i::BIGINT, 0, i::BIGINT FROM range(256) t(i)
-    UNION ALL
-    SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
-tab AS (SELECT i, c FROM bits WHERE k = 8),
-keys AS (SELECT DISTINCT coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
-crc(key, n, c) AS (
-    SELECT key, 0, 4294967295::BIGINT FROM keys
-    UNION ALL
-    SELECT key, n + 1, xor(crc.c // 256, tab.c) FROM crc JOIN tab ON tab.i = xor(crc.c % 256, ascii(substr(key, n + 1, 1))::BIGINT)
-    WHERE n < length(key)),
-kind AS (SELECT key, xor(c, 4294967295) % 20 AS d FROM crc WHERE n = length(key)),
+{crc32_tables("SELECT DISTINCT coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') FROM conversations")},
+kind AS (SELECT key, c % 20 AS d FROM crc32),
 damaged AS (
     SELECT conv_id, turn, d, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy,
            CASE d WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,

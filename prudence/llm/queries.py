@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prudence.llm import centroids, conversations, decontamination, jaccard_join, licenses
+from prudence.llm import backoff, centroids, conversations, decontamination, jaccard_join, licenses
 from prudence.llm.exact_dedup import exact_dedup
 from prudence.llm.html_text import extract_text
 from prudence.llm.language import identify
@@ -68,7 +69,13 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_language_id, op4_decontamination, op5_html_text, op6_licenses, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_exact_dedup, op11_conversation_repair, op12_centroids)}
+def op13_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores to six places, since sums depend on their order."""
+    rows = backoff.score_texts(table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_language_id, op4_decontamination, op5_html_text, op6_licenses, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_exact_dedup, op11_conversation_repair, op12_centroids, op13_katz_scores)}
 
 ORACLES: dict[str, str] = {
     "op4_decontamination": decontamination.oracle(),
@@ -83,4 +90,5 @@ ORACLES: dict[str, str] = {
         FROM t""",
     "op11_conversation_repair": conversations.oracle(),
     "op12_centroids": centroids.oracle(),
+    "op13_katz_scores": backoff.oracle(),
 }
