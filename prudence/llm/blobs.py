@@ -18,7 +18,7 @@ def unpacked(blob: bytes) -> np.ndarray:
     """What packed() was given; whole numbers as int64."""
     kind = np.dtype(blob[:1].decode())
     planes = np.frombuffer(zstandard.decompress(blob[1:]), np.uint8).reshape(kind.itemsize, -1)
-    values = np.ascontiguousarray(planes.T).view(kind).ravel()
+    values = planes.T.copy().view(kind).ravel()
     return values if kind.kind == "f" else values.astype(np.int64)
 
 

@@ -241,8 +241,8 @@ def repair(conversations: DataFrame) -> DataFrame:
     """Damage conversations as named above and repair them.
 
     Returns one row per conv_id of the input, a null one too: conv_id, gaps, blank, duplicate, truncated, illegal,
-    cost, audit, repaired_sha256. Null texts and roles are one space, so a null text is blank and a null role is no
-    legal one. Rows of equal turn stand by role, then text; rows repeated as a whole are duplicates of the first. A
+    cost, audit, repaired_sha256. Null texts and roles are one space, so a null text is blank and a null role, like
+    an empty one, can't be kept. Rows of equal turn stand by role, then text; rows repeated as a whole are duplicates of the first. A
     conversation that lost all its rows has zeros, an empty audit and the digest of the empty string. An empty table
     gives an empty table; further columns are ignored.
 
