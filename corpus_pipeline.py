@@ -18,7 +18,7 @@ from prudence.llm.scratch import stored
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't among those of `gone`."""
+    """The rows of docs whose doc_id isn't among those of `gone`; rows without a doc_id stay."""
     return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
@@ -38,8 +38,10 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with a benchmark passage go."""
-    return without(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Texts with a benchmark passage go, whatever their id: a null one, or one that other texts share, which stay."""
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2("text", 256))
+    found = contamination(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select(F.col("doc_id").alias("_gone")).distinct(), key == F.col("_gone"), "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
