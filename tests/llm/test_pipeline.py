@@ -26,3 +26,15 @@ def test_pipeline(spark, tmp_path, clash):
     every = {r[0] for r in rows}
     assert seen == [every - {70, 71}, every - {70, 71, 50}, every - {70, 71, 50, 52}, every - {70, 71, 50, 52, 60}, every - {70, 71, 50, 52, 60}]
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == seen[-1]
+
+
+def test_contaminated_texts_go_whatever_their_id(spark, tmp_path, clash):
+    """A null id, and an id that another text shares; clashing columns stay. Empty tables pass."""
+    item = " ".join(f"word{i}" for i in range(20))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, f"before {item} after", "aa", "s", 1), (None, "clean text of no item", "aa", "s", 1), (5, f"{item} too", "aa", "s", 1), (5, "another clean text", "aa", "s", 1), (6, None, None, None, None)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = clash(spark.createDataFrame(rows, schema))
+    out = P.decontamination(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(str(r.text) for r in out.collect()) == ["None", "another clean text", "clean text of no item"]
+    assert P.decontamination(spark, spark.createDataFrame([], schema), str(tmp_path)).collect() == []
