@@ -91,7 +91,7 @@ def hybrid_support(score: Column, contradiction: Column, supported: float = 0.70
     return F.when(contradiction >= contradicted, "UNSUPPORTED").when(score >= supported, "SUPPORTED").when(score >= weak, "WEAK").otherwise("UNSUPPORTED")
 
 
-def _largest(named: list[tuple[str, Column]]) -> Column:
+def largest(named: list[tuple[str, Column]]) -> Column:
     """Name of the largest value, the first among equals."""
     best = F.greatest(*(c for _, c in named))
     out = F.when(named[0][1] == best, named[0][0])
@@ -102,12 +102,12 @@ def _largest(named: list[tuple[str, Column]]) -> Column:
 
 def nli_label_v2(entailment: Column, neutral: Column, contradiction: Column, entailed: float = 0.5, contradicted: float = 0.5) -> Column:
     """Contradiction first, then entailment, else the largest in the order entailment, neutral, contradiction."""
-    return F.when(contradiction >= contradicted, "CONTRADICTION").when(entailment >= entailed, "ENTAILMENT").otherwise(_largest([("ENTAILMENT", entailment), ("NEUTRAL", neutral), ("CONTRADICTION", contradiction)]))
+    return F.when(contradiction >= contradicted, "CONTRADICTION").when(entailment >= entailed, "ENTAILMENT").otherwise(largest([("ENTAILMENT", entailment), ("NEUTRAL", neutral), ("CONTRADICTION", contradiction)]))
 
 
 def nli_label_v1(entailment: Column, neutral: Column, contradiction: Column, entailed: float = 0.5, contradicted: float = 0.5) -> Column:
     """Like v2 with ties in the order contradiction, entailment, neutral."""
-    return F.when(contradiction >= contradicted, "CONTRADICTION").when(entailment >= entailed, "ENTAILMENT").otherwise(_largest([("CONTRADICTION", contradiction), ("ENTAILMENT", entailment), ("NEUTRAL", neutral)]))
+    return F.when(contradiction >= contradicted, "CONTRADICTION").when(entailment >= entailed, "ENTAILMENT").otherwise(largest([("CONTRADICTION", contradiction), ("ENTAILMENT", entailment), ("NEUTRAL", neutral)]))
 
 
 def inferred_nli_label(valid: Column, stored: Column, entailment: Column, neutral: Column, contradiction: Column) -> Column:
@@ -118,7 +118,7 @@ def inferred_nli_label(valid: Column, stored: Column, entailment: Column, neutra
     out = F.when(~F.coalesce(valid, F.lit(True)), "INVALID_CLAIM")
     for n in ("ENTAILMENT", "NEUTRAL", "CONTRADICTION"):
         out = out.when(F.contains(label, F.lit(n)), n)
-    return out.when(some, _largest(named)).otherwise("UNKNOWN")
+    return out.when(some, largest(named)).otherwise("UNKNOWN")
 
 
 def self_score(entailment: Column, contradiction: Column) -> Column:

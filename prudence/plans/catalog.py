@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prudence.functions import text as T
 from prudence.functions.values import gated, geometric_mean, sigmoid, signed_to_unit
-from prudence.operators import calibration, correctness, diagnostics, inference, labels, lookup, metrics, ranking, reports, resample, validate
+from prudence.operators import calibration, correctness, diagnostics, labels, lookup, metrics, ranking, reports, resample, validate
 from prudence.plans import surrogate as S
 from prudence.plans import text_sql as X
 from prudence.streaming.counts import windowed_metrics
@@ -675,19 +675,6 @@ def paired_bootstrap(spark, sf_dir):
 # --- model stages and streams ----------------------------------------------------------------------------------------
 
 
-@query()
-def stub_inference(spark, sf_dir):
-    df = S.pairs(spark, sf_dir).select("row_idx", "question", F.col("question").alias("context"), F.when(F.col("row_idx") % 5 == 0, "").otherwise(F.col("answer")).alias("prediction_text"))
-    out = inference.self_verified(df)
-    return out.select("row_idx", "self_verification_label", "self_verification_score")
-
-
-@query()
-def question_verification(spark, sf_dir):
-    df = S.pairs(spark, sf_dir).select("row_idx", "question", F.col("question").alias("context"), F.when(F.col("row_idx") % 5 == 0, "").otherwise(F.col("answer")).alias("prediction_text"))
-    return inference.question_verified(df).select("row_idx", "qa_claim_valid", "qa_nli_label", "qa_entailment_probability")
-
-
 @query(f"""WITH {S.WITH_E}, x AS (SELECT date_trunc('hour', v.ts) AS window_start, confidence >= 0.5 AS a, correct FROM e JOIN events v ON e.row_idx = v.event_id) SELECT window_start, count(*) AS total, count(*) FILTER (a) AS answered, count(*) FILTER (a AND correct) AS answered_correct, round(count(*) FILTER (a) / count(*), 9) AS coverage,
     CASE WHEN count(*) FILTER (a) > 0 THEN round(1 - count(*) FILTER (a AND correct) / count(*) FILTER (a), 9) ELSE 0.0 END AS selective_risk FROM x GROUP BY 1""")
 def windowed_counts(spark, sf_dir):

@@ -32,6 +32,9 @@ LABELS_SQL = _select(LABELS, "{labels} l JOIN {documents} d ON l.doc_id = d.doc_
 EVENTS_SQL = "SELECT *, (1 - entailment) * against AS contradiction, (1 - entailment) * (1 - against) AS neutral FROM (" + _select(EVENTS, "{events}") + ") t"
 PAIRS_SQL = "SELECT q.conv_id * 100 + q.turn AS row_idx, q.text AS question, a.text AS answer FROM {conversations} q JOIN {conversations} a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'"
 
+#: Every document as a context, with the first thing that the user of some conversation says as its question.
+QUESTIONS_SQL = "SELECT d.doc_id AS row_idx, coalesce(q.text, '') AS question, coalesce(d.text, '') AS context FROM {documents} d LEFT JOIN (SELECT conv_id, min_by(text, turn) AS text FROM {conversations} WHERE role = 'user' GROUP BY conv_id) q ON q.conv_id = d.doc_id % 100"
+
 
 def table(spark: SparkSession, sf_dir: str, sql: str, names: tuple[str, ...]) -> DataFrame:
     frames = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
@@ -50,11 +53,16 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, PAIRS_SQL, ("conversations",))
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, QUESTIONS_SQL, ("documents", "conversations"))
+
+
 def _named(sql: str, *names: str) -> str:
     return sql.format(**{n: n for n in names})
 
 
-#: The same as DuckDB common table expressions p (labels), e (events) and t (text pairs).
+#: The same as DuckDB common table expressions p (labels), e (events), t (text pairs) and q (questions).
 WITH_P = f"p AS MATERIALIZED ({_named(LABELS_SQL, 'labels', 'documents')})"
 WITH_E = f"e AS MATERIALIZED ({_named(EVENTS_SQL, 'events')})"
 WITH_T = f"t AS MATERIALIZED ({_named(PAIRS_SQL, 'conversations')})"
+WITH_Q = f"q AS MATERIALIZED ({_named(QUESTIONS_SQL, 'documents', 'conversations')})"
