@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,11 +9,10 @@ from pyspark.sql import functions as F
 
 from prudence.functions.values import ratio
 from prudence.operators import labels
+from prudence.operators.ranks import average_rank, correlations  # noqa: F401, part of the diagnostics
 
 #: Most stripes into which each score is cut for counting flips.
 STRIPES = 1024
-#: Ranges into which distinct values are cut for ranking, a power of two.
-RANGES = 1024
 
 
 def _counts(df: DataFrame, a: str, b: str, correct: str) -> DataFrame:
@@ -74,52 +72,6 @@ def flip_summary(flips: DataFrame) -> DataFrame:
     return one.select("pairs", "fixes", "harms", ratio(F.col("fixes"), F.col("_wrong")).alias("fix_rate"), ratio(F.col("harms"), F.col("_right")).alias("harm_rate"))
 
 
-def numbers(values: Iterable[float]) -> Column:
-    """An array of doubles, made in one call."""
-    return F.expr(f"array({', '.join(f"double('{x!r}')" for x in values)})")
-
-
-def range_cuts(df: DataFrame, *values: str) -> list[list[float]]:
-    """Approximate quantiles of columns that cut each into RANGES ranges, from one pass."""
-    places = numbers(i / RANGES for i in range(1, RANGES))
-    return [c or [] for c in df.agg(*(F.percentile_approx(F.col(v).cast("double"), places, 10_000).alias(v) for v in values)).first()]
-
-
-def average_rank(df: DataFrame, value: str, out: str, cuts: list[float] | None = None) -> DataFrame:
-    """Add the rank of a value, the mean rank among ties. Nulls rank first.
-
-    Only counts by value are ordered, each inside its range between the cuts (by default those of range_cuts); the
-    ranges' sums, RANGES rows at most, give the offsets.
-    """
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    if cuts is None:
-        cuts = range_cuts(df, value)[0]
-    bounds, steps = numbers(cuts), F.array(*(F.lit(RANGES >> k) for k in range(1, RANGES.bit_length())))
-    # binary search: how many bounds aren't over the value
-    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col(value), at + step).otherwise(at))
-    counts = counts.withColumn("_range", place if cuts else F.lit(0))
-    sums = counts.groupBy("_range").agg(F.sum("_n").alias("_all"))
-    sums = sums.select("_range", F.coalesce(F.sum("_all").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_n0"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("_before", before).join(F.broadcast(sums), "_range").select(F.col(value).alias("_v"), (F.col("_n0") + F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
-
-
-def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """x, y, n, pearson and spearman of pairs of columns over rows that have both; null for under two rows or without variation."""
-    out = None
-    for x, y in pairs:
-        both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-        x_cuts, y_cuts = range_cuts(both, "x", "y")
-        both = average_rank(average_rank(both, "x", "rx", x_cuts), "y", "ry", y_cuts)
-        one = both.agg(F.count("*").alias("n"), *(F.stddev_pop(v).alias(f"_{v}") for v in ("x", "y", "rx", "ry")), F.covar_pop("x", "y").alias("_p"), F.covar_pop("rx", "ry").alias("_s"))
-        some = (F.col("n") > 1) & (F.col("_x") * F.col("_y") > 1e-15)
-        pearson, spearman = (F.when(some, F.col(c) / (F.col(a) * F.col(b))) for c, a, b in (("_p", "_x", "_y"), ("_s", "_rx", "_ry")))
-        one = one.select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", pearson.alias("pearson"), spearman.alias("spearman"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def top_examples(df: DataFrame, groups: dict[str, tuple[Column, list[Column]]], limit: int = 50, row_idx: str = "row_idx") -> DataFrame:
     """The first rows of each group by its own order: group, rank and all columns. Each group is a top-k of its own."""
     if limit < 1:

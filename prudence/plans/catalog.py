@@ -609,6 +609,19 @@ def pearson_spearman(spark, sf_dir):
     return diagnostics.correlations(df, [("entailment", "y"), ("confidence", "entailment")])
 
 
+_NEAR = "confidence * (1 + cast(row_idx % 6 AS double) * 3e-10)"
+
+
+@query(f"""WITH RECURSIVE {S.WITH_P}, v AS (SELECT row_idx, {_NEAR} AS v FROM p), d AS MATERIALIZED (SELECT v, count(*) AS n, row_number() OVER (ORDER BY v) AS i FROM v GROUP BY v),
+    g(i, v, anchor) AS (SELECT i, v, v FROM d WHERE i = 1
+        UNION ALL SELECT d.i, d.v, CASE WHEN abs(d.v - anchor) <= greatest(1e-9 * greatest(abs(d.v), abs(anchor)), 1e-15) THEN anchor ELSE d.v END FROM g JOIN d ON d.i = g.i + 1),
+    s AS (SELECT anchor, sum(n) AS n FROM g JOIN d USING (i) GROUP BY anchor), r AS (SELECT anchor, coalesce(sum(n) OVER (ORDER BY anchor ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS place FROM s)
+    SELECT row_idx, cast(place AS double) AS place FROM v JOIN g USING (v) JOIN r USING (anchor)""")
+def near_tie_ranks(spark, sf_dir):
+    df = S.labels(spark, sf_dir).select("row_idx", F.expr(_NEAR).alias("v"))
+    return diagnostics.average_rank(df, "v", "place").drop("v")
+
+
 _GROUPS = {"incorrect_high_entailment": ("NOT correct AND entailment >= 0.8", "entailment DESC"), "correct_low_entailment": ("correct AND entailment <= 0.2", "entailment"), "high_confidence_low_entailment": ("confidence >= 0.8 AND entailment <= 0.2", "confidence - entailment DESC"), "low_confidence_high_entailment": ("confidence <= 0.2 AND entailment >= 0.8", "entailment - confidence DESC")}
 
 

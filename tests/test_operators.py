@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prudence.functions.values import signed_to_unit
-from prudence.operators import calibration, correctness, diagnostics, inference, labels, lookup, metrics, ranking, resample, validate
+from prudence.operators import calibration, correctness, diagnostics, inference, labels, lookup, metrics, ranking, ranks, resample, validate
 
 
 def predictions(spark, rows):
@@ -196,17 +197,50 @@ def test_correlations_without_variation_are_null(spark):
     assert rows["k"].pearson is None and rows["y"].spearman == pytest.approx(1.0)
 
 
+def mean_ranks(values):
+    """Mean rank of each place: a group holds what is close to its first value; nulls come first, NaN last."""
+    order = sorted(range(len(values)), key=lambda i: (0, 0) if values[i] is None else (2, 0) if values[i] != values[i] else (1, values[i]))
+    same = lambda a, b: a is None and b is None or None not in (a, b) and (a != a and b != b or math.isclose(a, b, abs_tol=1e-15))
+    out, at = {}, 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and same(values[order[at]], values[order[end]]):
+            end += 1
+        out |= dict.fromkeys(order[at:end], (at + 1 + end) / 2)
+        at = end
+    return out
+
+
+@pytest.mark.parametrize("range_rows", [4, 10**6])
+def test_groups_of_close_values_cross_ranges(spark, range_rows):
+    """Values that creep by less than the tolerance, so that where a group begins hangs on all before it."""
+    rng = random.Random(range_rows)
+    values = [0.1, 0.3, 0.1 + 0.2, 0.30000000001, 0.5, 0.0, 5e-16, -9e-16, float("inf"), float("-inf"), float("inf"), None, None, float("nan"), float("nan")]
+    values += [2 + 6e-10 * i for i in range(40)] + [7 * (1 + 3e-10 * rng.randint(0, 60)) for _ in range(30)] + [-5 - 4e-9 * i for i in range(10)]
+    values += [1e300 * (1 + 9e-10 * i) for i in range(5)] if range_rows > 3 else []
+    df = spark.createDataFrame(list(enumerate(values)), "row_idx int, v double")
+    assert {r.row_idx: r.place for r in ranks.average_rank(df, "v", "place", range_rows).collect()} == mean_ranks(values)
+
+
+def test_correlations_read_the_table_once(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, *range(9)]), rng.gauss(0, 1), rng.randint(0, 3) / 3 + rng.choice([0, 1e-10])) for _ in range(300)]
+    df = spark.createDataFrame([tuple(None if x is None else float(x) for x in r) for r in rows], "a double, b double, c double")
+    got = {(r.x, r.y): r for r in diagnostics.correlations(df, [("a", "b"), ("b", "c"), ("a", "c")]).collect()}
+    for x, y in got:
+        both = [(r["abc".index(x)], r["abc".index(y)]) for r in rows if None not in (r["abc".index(x)], r["abc".index(y)])]
+        u, v = zip(*both, strict=True)
+        pearson = statistics.correlation(u, v)
+        ru, rv = mean_ranks(u), mean_ranks(v)
+        spearman = statistics.correlation([ru[i] for i in range(len(u))], [rv[i] for i in range(len(v))])
+        assert got[x, y].n == len(both) and got[x, y].pearson == pytest.approx(pearson) and got[x, y].spearman == pytest.approx(spearman)
+
+
 def test_average_rank_equals_brute_force(spark):
     values = [None, float("nan"), -1e9, *(i % 1700 / 7 for i in range(4000)), *(1 - 1e-9 * i for i in range(50)), *[0.5] * 30]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "row_idx int, v double")
     got = {r.row_idx: r.place for r in diagnostics.average_rank(df, "v", "place").collect()}
-    key = [(0, 0) if v is None else (2, 0) if v != v else (1, v) for v in values]
-    counts = Counter(key)
-    want, before = {}, 0
-    for k in sorted(counts):
-        want[k] = before + (counts[k] + 1) / 2
-        before += counts[k]
-    assert got == {i: want[k] for i, k in enumerate(key)}
+    assert got == mean_ranks(values)
     assert diagnostics.average_rank(df.limit(0), "v", "place").count() == 0
 
 
