@@ -9,6 +9,7 @@ independent, so a text of any length is labelled a bounded run of chains at a ti
 from __future__ import annotations
 
 import json
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -210,8 +211,8 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
     return Model(labels, table.astype(np.float32), trans, start, lexicon, np.unique(grams.hashes(2)[1]))
 
 
-def training_chains(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most TRAIN_CHAINS chains of words from each of LANGUAGE_DOCS documents a language that aren't held out, by hash of the id.
+def training_chains(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Rows (lang, chain) to learn from: at most TRAIN_CHAINS chains of words from each of LANGUAGE_DOCS documents a language that aren't held out, by hash of the id.
 
     Of many languages, each gets as many documents as leave TRAIN_DOCS in all, LEAST_DOCS at least, and of more than
     TRAIN_DOCS / LEAST_DOCS languages the commonest are taken. Rows of one id and language count once, with the
@@ -220,9 +221,7 @@ def training_chains(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     """
     open_rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
     known = open_rows.groupBy("_lang").agg(F.approx_count_distinct("_id", 0.02).alias("_ids")).orderBy(F.desc("_ids"), "_lang").limit(TRAIN_DOCS // LEAST_DOCS).collect()
-    if not known:
-        return []
-    most = min(LANGUAGE_DOCS, max(LEAST_DOCS, TRAIN_DOCS // len(known)))
+    most = min(LANGUAGE_DOCS, max(LEAST_DOCS, TRAIN_DOCS // max(1, len(known))))
     limits = docs.sparkSession.createDataFrame([(r["_lang"], (1.2 * most + 100) / max(1, r["_ids"])) for r in known], "_known string, _limit double")
     low = open_rows.withColumn("_hash", F.xxhash64("_id")).join(F.broadcast(limits), F.col("_lang") == F.col("_known")).where(F.col("_hash") / 2.0**64 + 0.5 <= F.col("_limit")).select("_id", "_lang", "_hash").distinct()
     first = W.partitionBy("_lang").orderBy("_hash", "_id")
@@ -240,8 +239,7 @@ def training_chains(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
                     chains.append(" ".join(words[at : at + CHAIN]))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chains, pa.string())], ["lang", "chain"])
 
-    rows = taken.mapInArrow(cut, "lang string, chain string").collect()
-    return sorted((r["lang"], r["chain"]) for r in rows if r["chain"])
+    return taken.mapInArrow(cut, "lang string, chain string").where("chain <> ''")
 
 
 def predicted(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
@@ -258,12 +256,28 @@ def predicted(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarr
 
 
 def trained(docs: DataFrame, id_col: str, text_col: str, lang_col: str):
-    samples = training_chains(docs, id_col, text_col, lang_col)
-    model = docs.sparkSession.sparkContext.broadcast(train(samples) if samples else None)
+    """A broadcast of the model as bytes, none if nothing can be learned from.
+
+    The sample is bounded, so one task trains on all of it; the driver only passes the weights on.
+    """
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        if samples:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(samples), 5)], pa.binary())], ["model"])
+
+    rows = training_chains(docs, id_col, text_col, lang_col).repartition(1).mapInArrow(released(fit), "model binary").collect()
+    model = docs.sparkSession.sparkContext.broadcast(bytes(rows[0]["model"]) if rows else None)
+    del rows
     give_back()
     return model
 
 
+def loaded(shared) -> Model | None:
+    """The model of a broadcast of trained(), in a task."""
+    return pickle.loads(shared.value) if shared.value else None
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Predict the language of every whole text, learning from lang where crc32(id) mod 4 is not 2.
 
@@ -275,8 +289,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shared = trained(docs, id_col, text_col, lang_col)
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(shared)
         for batch in batches:
-            pred, score, mix, _ = predicted(shared.value, batch.column(2))
+            pred, score, mix, _ = predicted(model, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score), pa.array(mix, pa.string())], ["doc_id", "held_out", "lang_pred", "score", "mix"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
@@ -295,9 +310,10 @@ def keep_identified(docs: DataFrame, over_even: float = 1.2, least_fit: float =
     place = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(shared)
+        least = min(1.0, over_even / len(model.labels)) if model else 1.0
         for batch in batches:
-            pred, score, _, fit = predicted(shared.value, batch.column(place))
-            least = min(1.0, over_even / len(shared.value.labels)) if shared.value else 1.0
+            pred, score, _, fit = predicted(model, batch.column(place))
             yield batch.filter(pa.array([p != UNDETERMINED and s >= least - 1e-6 and f >= least_fit for p, s, f in zip(pred, score, fit, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(released(kept), docs.schema)
