@@ -6,17 +6,20 @@ functions repeat Python's own generator on the driver for tables that fit there.
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prudence.functions.values import ratio
 from prudence.operators.ranking import methods as long_methods
+from prudence.operators.ranking import ranked as ranked_rows
+from prudence.sources.stages import stored
 
 #: Hex digits by which a hash order is dealt into parts.
 DIGITS = 4
@@ -78,39 +81,74 @@ def exact_sample(n: int, k: int, seed: int) -> list[int]:
     return random.Random(seed).sample(range(n), k)
 
 
-def paired_bootstrap(df: DataFrame, scores: dict[str, Column], replicates: int = 5000, seed: int = 17, row_idx: str = "row_idx", correct: str = "correct", most_rows: int = 2_000_000) -> DataFrame:
-    """Area under the curve of each method over resamples with replacement that all methods share: replicate, method, aurc.
+#: A prime, the factors that mix seed, replicate and row, and how often a row is drawn by the place of its number below the prime: the shares of a Poisson law of mean 1.
+PRIME, ROW, REPLICATE, AGAIN, SEED = 2**31 - 1, 48_271, 69_621, 40_692, 16_807
+DRAWN = [int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+#: Rows of a cell of an order, and replicates that are looked at together.
+CELL_ROWS, BLOCK = 4096, 500
 
-    Every replicate needs the whole order of every method, so the orders are broadcast: 4 bytes a row and method. Over
-    most_rows rows this raises; draw a sample by digest first. Replicates are spread over tasks, and each draws from a
-    generator of its own seed, so results don't depend on how they are dealt.
+
+def draws(rows: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """How often each row stands in each replicate: a number below PRIME from row and replicate alone, read by DRAWN."""
+
+    def fifth(x: np.ndarray) -> np.ndarray:
+        square = x * x % PRIME
+        return square * square % PRIME * x % PRIME
+
+    x = (rows[:, None] % PRIME * ROW + (replicates * REPLICATE + seed * SEED + 1)[None, :]) % PRIME
+    x = fifth((fifth(x) + replicates[None, :] * AGAIN) % PRIME)
+    return np.searchsorted(np.array(DRAWN), x, "right")
+
+
+def paired_bootstrap(df: DataFrame, scores: dict[str, Column], replicates: int = 5000, seed: int = 17, row_idx: str = "row_idx", correct: str = "correct", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Area under the curve of each method over resamples that all methods share: replicate, method, rows, aurc.
+
+    Every row is drawn a number of times that seed, replicate and row alone decide, so no draw is stored or sent, and
+    methods meet the same resample. The number is Poisson with mean 1, the limit of n draws of n rows with replacement;
+    a replicate's size varies with it. Orders are dealt into cells by rank. The cells' sums come first, their running
+    sums give each cell what stands before it, and the cells' shares of the area are added up. A replicate without rows
+    has no area. An empty table raises.
     """
-    n = df.count()
-    if n == 0:
+    if replicates < 1 or seed < 0:
+        raise ValueError("there must be replicates, and the seed must not be negative")
+    if df.isEmpty():
         raise ValueError("there are no rows")
-    if n > most_rows:
-        raise ValueError(f"{n} rows are too many to broadcast; the bound is {most_rows}")
-    table = long_methods(df, scores, (row_idx, correct)).groupBy("method").agg(F.collect_list(F.struct(F.col("score"), F.col(row_idx), F.col(correct))).alias("rows")).collect()
-    first = sorted((r[row_idx], bool(r[correct])) for r in table[0]["rows"])
-    place = {k: i for i, (k, _) in enumerate(first)}
-    wrong = np.array([not c for _, c in first], float)
-    orders = {r["method"]: np.array([place[x[row_idx]] for x in sorted(r["rows"], key=lambda x: (-x["score"], x[row_idx]))], np.int32) for r in table}
-    shared = df.sparkSession.sparkContext.broadcast((wrong, orders))
-
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wrong, orders = shared.value
-        k = len(wrong)
-        for batch in batches:
-            out = []
-            for b in batch["id"]:
-                times = np.bincount(np.random.default_rng([seed, int(b)]).integers(0, k, k), minlength=k)
-                for name, order in orders.items():
-                    marks = np.repeat(wrong[order], times[order])
-                    out.append((int(b), name, float((np.cumsum(marks) / np.arange(1, k + 1)).mean())))
-            yield pd.DataFrame(out, columns=["replicate", "method", "aurc"])
-
-    spark = df.sparkSession
-    return spark.range(0, replicates, 1, spark.sparkContext.defaultParallelism * 2).mapInPandas(drawn, "replicate bigint, method string, aurc double")
+    ranked = ranked_rows(long_methods(df, scores, (row_idx, correct)), row_idx=row_idx, correct=correct)
+    cell = F.floor((F.col("answered") - 1) / cell_rows).alias("cell")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK))).alias("block")
+    rows = stored(ranked.select("method", cell, F.col("answered").alias("place"), F.col(row_idx).cast("long").alias("row"), (~F.col(correct)).cast("long").alias("wrong")), "orders")
+    rows = rows.select("*", blocks)
+
+    def looked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        table = table.sort_by("place")
+        own = np.arange(table.column("block")[0].as_py() * BLOCK, min((table.column("block")[0].as_py() + 1) * BLOCK, replicates))
+        times = draws(table.column("row").to_numpy(), own, seed)
+        return own, times, times * table.column("wrong").to_numpy()[:, None]
+
+    def summed(table: pa.Table) -> pa.Table:
+        own, times, wrong = looked(table)
+        first = [[table.column(c)[0].as_py()] * len(own) for c in ("method", "cell", "block")]
+        return pa.table([*first, own, times.sum(0), wrong.sum(0)], ["method", "cell", "block", "replicate", "n", "w"]).cast(pa.schema([("method", pa.string()), *((c, pa.int64()) for c in ("cell", "block", "replicate", "n", "w"))]))
+
+    rows = rows.withColumn("block", F.col("block").cast("long")).withColumn("cell", F.col("cell").cast("long"))
+    sums = rows.groupBy("method", "cell", "block").applyInArrow(summed, "method string, cell long, block long, replicate long, n long, w long")
+    before = W.partitionBy("method", "replicate").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("method", "cell", "block", "replicate", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"))
+
+    def shared(table: pa.Table, offsets: pa.Table) -> pa.Table:
+        own, times, wrong = looked(table)
+        offsets = offsets.sort_by("replicate")
+        n0, w0 = offsets.column("n0").to_numpy(), offsets.column("w0").to_numpy()
+        n1, w1 = np.cumsum(times, 0) + n0, np.cumsum(wrong, 0) + w0
+        area = np.zeros(len(own))
+        for k in range(int(times.max(initial=0))):  # the k-th last copy of each row
+            some = times > k
+            area += np.where(some, (w1 - k * (wrong > 0)) / np.maximum(n1 - k, 1), 0.0).sum(0)
+        return pa.table([[table.column("method")[0].as_py()] * len(own), own, times.sum(0), area], ["method", "replicate", "n", "area"]).cast(pa.schema([("method", pa.string()), ("replicate", pa.int64()), ("n", pa.int64()), ("area", pa.float64())]))
+
+    key = ["method", "cell", "block"]
+    parts = rows.groupBy(*key).cogroup(sums.groupBy(*key)).applyInArrow(shared, "method string, replicate long, n long, area double")
+    return parts.groupBy("replicate", "method").agg(F.sum("n").alias("rows"), ratio(F.sum("area"), F.sum("n")).alias("aurc"))
 
 
 def bootstrap_summary(draws: DataFrame, reference: str, level: float = 0.95) -> DataFrame:

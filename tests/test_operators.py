@@ -328,6 +328,25 @@ def test_registered_thresholds_search_the_whole_grid(spark):
     assert np.allclose([r.abstain_threshold, r.answer_threshold], best[-2:], atol=2e-9)
 
 
+def test_bootstrap_equals_brute_force_over_cells(spark):
+    """Orders of several cells, with ties, over more than a block of replicates."""
+    rng = random.Random(8)
+    rows = [(i * 7, rng.randint(0, 5) / 5, rng.random() < 0.6) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_idx long, s double, correct boolean")
+    got = {(r.method, r.replicate): r for r in resample.paired_bootstrap(df, {"a": F.col("s"), "b": 1 - F.col("s")}, 510, 3, cell_rows=7).collect()}
+    times = resample.draws(np.array([r[0] for r in rows]), np.arange(510), 3)
+    assert len(got) == 1020 and abs(times.mean() - 1) < 0.03 and abs(times.var() - 1) < 0.05
+    for b in (0, 1, 499, 500, 509):
+        for method, sign in (("a", -1), ("b", 1)):
+            wrong = answered = 0
+            risks = []
+            for i in sorted(range(40), key=lambda i: (sign * rows[i][1], rows[i][0])):
+                for _ in range(times[i, b]):
+                    answered, wrong = answered + 1, wrong + (not rows[i][2])
+                    risks.append(wrong / answered)
+            assert got[method, b].rows == len(risks) and got[method, b].aurc == pytest.approx(sum(risks) / len(risks))
+
+
 def test_registered_bootstrap_draws_every_replicate(spark):
     from prudence.plans import catalog
 
