@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,58 +13,118 @@ from pyspark.sql import functions as F
 from prudence.functions.values import ratio
 from prudence.operators import labels
 from prudence.operators.ranks import average_rank, correlations  # noqa: F401, part of the diagnostics
+from prudence.sources.stages import stored
 
-#: Most stripes into which each score is cut for counting flips.
-STRIPES = 1024
+#: Most stripes into which each score is cut for counting flips, and distinct score pairs of a stripe.
+STRIPES, STRIPE_ROWS = 1024, 200_000
+SIGNS = pa.schema([("baseline", pa.int32()), ("alternative", pa.int32()), ("pairs", pa.int64())])
 
 
-def _counts(df: DataFrame, a: str, b: str, correct: str) -> DataFrame:
-    return df.groupBy(F.col(correct).alias("c"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+def _cuts(found: list[float] | None) -> list[float]:
+    """Bounds of stripes from rising quantiles; a value that stands more than once among them is a stripe of its own."""
+    found = found or []
+    return sorted({*found, *(math.nextafter(x, math.inf) for x, y in zip(found, found[1:], strict=False) if x == y)})
 
 
-def rank_flips(df: DataFrame, baseline: str = "confidence", alternative: str = "fused", correct: str = "correct") -> DataFrame:
-    """How two scores order every (right, wrong) pair: baseline, alternative (-1, 0, 1 by the sign of right minus wrong) and pairs.
+def _stripe(x: str, bounds: list[float]) -> Column:
+    """How many of the rising bounds aren't over x, by halving."""
+    if not bounds:
+        return F.lit(0)
+    table = F.expr(f"array({', '.join(f"double('{b!r}')" for b in bounds)})")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= F.col(x), at + step).otherwise(at))
+
 
-    Equal pairs of scores are counted first, so rows are never paired with rows. Both scores are then cut into g
-    stripes. Pairs that differ in both stripes follow from running sums over the g by g grid; only those that share a
-    stripe are compared one by one, about d * d / g of d distinct pairs.
+def signs(a: np.ndarray, b: np.ndarray, right: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+    """Numbers of (right, wrong) pairs by the signs of their differences in a and in b, each from -1 to 1, over weighted points.
+
+    Points differ in a from the highest bit in which their ranks differ on, so each level of bits takes in the pairs
+    that it parts, with one sort by b: d log^2 d for d points, and no pair is looked at alone.
     """
-    counts = _counts(df, baseline, alternative, correct)
-    right, wrong = counts.where("c").select("a", "b", "n"), counts.where("NOT c").select("a", "b", "n")
-    g = max(2, min(STRIPES, int(counts.count() ** 0.5)))
-    cuts = [i / g for i in range(1, g)]
-    quantiles = df.agg(*(F.percentile_approx(x, cuts, 10_000).alias(k) for k, x in (("qa", baseline), ("qb", alternative)))).first()
+    ra, rb = (np.unique(x, return_inverse=True)[1].astype(np.int64) for x in (a, b))
+    width = int(rb.max(initial=0)) + 1
+    out = np.zeros((3, 3), np.int64)
+
+    def met(group: np.ndarray, mine: np.ndarray, theirs: np.ndarray, weight: np.ndarray, other: np.ndarray) -> tuple[int, int, int]:
+        """Pairs of points of `mine` with points of `theirs` in the same group whose b is less, equal or greater."""
+        key = group[theirs] * width + rb[theirs]
+        order = np.argsort(key, kind="stable")
+        key, upto = key[order], np.concatenate([[0], np.cumsum(other[theirs][order])])
+        at = group[mine] * width
+        begin, low, high, end = (upto[np.searchsorted(key, at + x, "left")] for x in (0, rb[mine], rb[mine] + 1, width))
+        w = weight[mine]
+        return int((w * (low - begin)).sum()), int((w * (high - low)).sum()), int((w * (end - high)).sum())
+
+    some_r, some_w = np.flatnonzero(right), np.flatnonzero(wrong)
+    for k in range(int(ra.max(initial=0)).bit_length()):
+        group, half = ra >> (k + 1), (ra >> k) & 1
+        for row, side in ((2, 1), (0, 0)):  # the right point has the greater a, or the smaller
+            out[row, ::-1] += met(group, some_r[half[some_r] == side], some_w[half[some_w] != side], right, wrong)
+    out[1, ::-1] += met(ra, some_r, some_w, right, wrong)
+    return out
 
-    def stripe(x: str, bounds: list[float]) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda q: q <= F.col(x)))
 
-    qa, qb = (sorted(set(quantiles[k] or [0.5])) for k in ("qa", "qb"))
-    right, wrong = (x.select("a", "b", "n", stripe("a", qa).alias("i"), stripe("b", qb).alias("j")) for x in (right, wrong))
+def rank_flips(df: DataFrame, baseline: str = "confidence", alternative: str = "fused", correct: str = "correct", stripe_rows: int = STRIPE_ROWS) -> DataFrame:
+    """How two scores order every (right, wrong) pair: baseline, alternative (-1, 0, 1 by the sign of right minus wrong) and pairs.
+
+    Equal pairs of scores are counted first. Both scores are cut into stripes of like many distinct pairs, a common
+    value being a stripe of its own. Pairs that differ in both stripes follow from running sums over the grid of
+    stripes, as do pairs that share a stripe of one value and differ in the other. What shares a stripe of several
+    values is counted inside it by halves, a stripe at a time. No two rows and no two score pairs are compared.
+    """
     c = F.col
+    points = df.groupBy(c(baseline).cast("double").alias("a"), c(alternative).cast("double").alias("b")).agg(F.count_if(c(correct)).alias("right"), F.count_if(~c(correct)).alias("wrong"))
+    points = stored(points, "points")
+    g = max(2, min(STRIPES, -(-points.count() // stripe_rows)))
+    places = [i / g for i in range(1, g)]
+    quantiles = points.agg(*(F.percentile_approx(x, places, 100 * STRIPES).alias(x) for x in ("a", "b"))).first()
+    bounds = {x: _cuts(quantiles[x]) for x in ("a", "b")}
+    points = stored(points.withColumns({"i": _stripe("a", bounds["a"]), "j": _stripe("b", bounds["b"])}), "stripes")
+    for x, i, flat in (("a", "i", "flat_i"), ("b", "j", "flat_j")):
+        points = points.join(F.broadcast(points.groupBy(i).agg((F.min(x) == F.max(x)).alias(flat))), i)
+    cells = points.groupBy("i", "j", "flat_i", "flat_j").agg(F.sum("right").alias("right"), F.sum("wrong").alias("wrong"))
+    cells = stored(cells, "cells")
+    n = len(bounds["a"]) + 1, len(bounds["b"]) + 1
 
     # sums of wrong rows over stripes up to (i, j), from -1
-    grid = df.sparkSession.range((g + 1) * (g + 1)).select((F.floor(c("id") / (g + 1)) - 1).cast("int").alias("i"), (c("id") % (g + 1) - 1).cast("int").alias("j"))
-    sums = grid.join(wrong.groupBy("i", "j").agg(F.sum("n").alias("n")), ["i", "j"], "left").na.fill(0, ["n"])
+    grid = df.sparkSession.range((n[0] + 1) * (n[1] + 1)).select((F.floor(c("id") / (n[1] + 1)) - 1).cast("int").alias("i"), (c("id") % (n[1] + 1) - 1).cast("int").alias("j"))
+    sums = grid.join(cells.select("i", "j", c("wrong").alias("n")), ["i", "j"], "left").na.fill(0, ["n"])
     upto = lambda by, order: W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    sums = sums.withColumn("n", F.sum("n").over(upto("i", "j"))).withColumn("s", F.sum("n").over(upto("j", "i"))).select("i", "j", "s")
-    cells = right.groupBy("i", "j").agg(F.sum("n").alias("n"))
-    last = F.lit(g - 1)
-    for name, i, j in (("ll", c("i") - 1, c("j") - 1), ("lm", c("i") - 1, c("j")), ("la", c("i") - 1, last), ("ml", c("i"), c("j") - 1), ("mm", c("i"), c("j")), ("ma", c("i"), last), ("al", last, c("j") - 1), ("am", last, c("j")), ("aa", last, last)):
-        side = sums.select(c("i").alias("_i"), c("j").alias("_j"), c("s").alias(name))
-        cells = cells.join(side, (i == c("_i")) & (j == c("_j"))).drop("_i", "_j")
-    below, above_b, above_a, over = c("ll"), c("la") - c("lm"), c("al") - c("ml"), c("aa") - c("ma") - c("am") + c("mm")
-    signs = F.array(*(F.struct(F.lit(x).alias("baseline"), F.lit(y).alias("alternative"), (c("n") * k).alias("pairs")) for x, y, k in ((1, 1, below), (1, -1, above_b), (-1, 1, above_a), (-1, -1, over))))
-    far = cells.select(F.inline(signs)).where("pairs > 0")
-
-    def sign(x: Column, y: Column) -> Column:
-        return F.when(x > y, 1).when(x < y, -1).otherwise(0)
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy(sign(c("r.a"), c("w.a")).alias("baseline"), sign(c("r.b"), c("w.b")).alias("alternative")).agg(F.sum(c("r.n") * c("w.n")).alias("pairs"))
-
-    same_i = compared(right.alias("r").join(wrong.alias("w"), c("r.i") == c("w.i")))
-    same_j = compared(right.alias("r").join(wrong.alias("w"), (c("r.j") == c("w.j")) & (c("r.i") != c("w.i"))))
-    return far.unionByName(same_i).unionByName(same_j).groupBy("baseline", "alternative").agg(F.sum("pairs").cast("long").alias("pairs"))
+    sums = sums.withColumn("n", F.sum("n").over(upto("i", "j"))).withColumn("s", F.sum("n").over(upto("j", "i")))
+    before, over = W.partitionBy("j").orderBy("i"), W.partitionBy("i").orderBy("j")
+    # what lies under a cell, left of it, in both; and the totals of its row, its column and all
+    sums = sums.select("i", "j", c("s").alias("mm"), F.lag("s").over(before).alias("lm"), F.lag("s").over(over).alias("ml"), F.max("s").over(W.partitionBy("i")).alias("ma"), F.max("s").over(W.partitionBy("j")).alias("am"))
+    sums = sums.withColumns({"ll": F.lag("ml").over(before), "la": F.lag("ma").over(before), "al": F.lag("am").over(over)})
+    total = cells.agg(F.coalesce(F.sum("wrong"), F.lit(0)).alias("aa"))
+    met = cells.where("right > 0").join(sums, ["i", "j"]).join(F.broadcast(total))
+    here = c("mm") - c("lm") - c("ml") + c("ll")
+    below, above_b, above_a, beyond = c("ll"), c("la") - c("lm"), c("al") - c("ml"), c("aa") - c("ma") - c("am") + c("mm")
+    left, right_of = c("lm") - c("ll"), c("am") - c("al") - c("lm") + c("ll") - here  # the same stripe of b, other stripes of a
+    under, on_top = c("ml") - c("ll"), c("ma") - c("la") - c("ml") + c("ll") - here  # the same stripe of a
+    when = lambda flat, x: F.when(c(flat), x).otherwise(0)
+    rows = [(1, 1, below), (1, -1, above_b), (-1, 1, above_a), (-1, -1, beyond), (1, 0, when("flat_j", left)), (-1, 0, when("flat_j", right_of)), (0, 1, when("flat_i", under)), (0, -1, when("flat_i", on_top))]
+    far = met.select(F.inline(F.array(*(F.struct(F.lit(x).alias("baseline"), F.lit(y).alias("alternative"), (c("right") * k).alias("pairs")) for x, y, k in rows)))).where("pairs > 0")
+
+    # of a stripe of one value only a cell's own points remain: they differ in the other score alone
+    inside = points.where("flat_i")
+    by_b = W.partitionBy("i", "j").orderBy("b")
+    inside = inside.select("right", "wrong", F.coalesce(F.sum("wrong").over(by_b.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("less"), F.sum("wrong").over(W.partitionBy("i", "j")).alias("all"))
+    alone = inside.where("right > 0").select(F.inline(F.array(*(F.struct(F.lit(0).alias("baseline"), F.lit(y).alias("alternative"), (c("right") * k).alias("pairs")) for y, k in ((1, c("less")), (0, c("wrong")), (-1, c("all") - c("less") - c("wrong")))))))
+
+    def counted(first: str, same: bool):
+        def run(table: pa.Table) -> pa.Table:
+            a, b, right, wrong = (table.column(x).to_numpy() for x in (first, "b", "right", "wrong"))
+            found = signs(a, b, right, wrong)
+            if not same:
+                found[1] = 0
+            return pa.table([np.repeat([-1, 0, 1], 3), np.tile([-1, 0, 1], 3), found.ravel()], ["baseline", "alternative", "pairs"]).cast(SIGNS)
+
+        return run
+
+    kind = "baseline int, alternative int, pairs long"
+    in_a = points.where("NOT flat_i").groupBy("i").applyInArrow(counted("a", True), kind)
+    in_b = points.where("NOT flat_j").groupBy("j").applyInArrow(counted("i", False), kind)
+    return far.unionByName(alone).unionByName(in_a).unionByName(in_b).groupBy("baseline", "alternative").agg(F.sum("pairs").cast("long").alias("pairs")).where("pairs > 0")
 
 
 def flip_summary(flips: DataFrame) -> DataFrame:

@@ -176,6 +176,31 @@ def test_claim_reasons(spark):
     assert got == [[], ["QUESTION_FORM", "EXCESSIVE_QUESTION_COPY"], ["EMPTY_CLAIM", "TOO_SHORT", "ANSWER_NOT_PRESERVED", "NUMBER_NOT_PRESERVED"], ["ANSWER_ONLY_FRAGMENT", "TOO_SHORT"]]
 
 
+def test_signs_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for n, values in ((0, 1), (1, 1), (30, 3), (200, 9), (200, 10_000)):
+        a, b = rng.integers(0, values, n) / 7, rng.integers(0, values, n) / 3
+        right, wrong = rng.integers(0, 4, n), rng.integers(0, 4, n)
+        want = np.zeros((3, 3), np.int64)
+        x, y = (np.sign(v[:, None] - v[None, :]).astype(int) + 1 for v in (a, b))
+        np.add.at(want, (x, y), right[:, None] * wrong[None, :])
+        assert (diagnostics.signs(a, b, right, wrong) == want).all()
+
+
+@pytest.mark.parametrize("stripe_rows", [1, 15, 10**6])
+def test_rank_flips_over_stripes_and_common_values(spark, stripe_rows):
+    """Stripes of one common value in either score, of both, and of many values."""
+    rng = random.Random(stripe_rows)
+    rows = [(rng.choice([0.5, 0.5, rng.random()]), rng.choice([0.25, rng.random(), rng.random()]), rng.random() < 0.5) for _ in range(150)]
+    df = spark.createDataFrame(rows, "confidence double, fused double, correct boolean")
+    want = Counter()
+    for a, b, c in rows:
+        for x, y, d in rows:
+            if c and not d:
+                want[(a > x) - (a < x), (b > y) - (b < y)] += 1
+    assert {(r.baseline, r.alternative): r.pairs for r in diagnostics.rank_flips(df, stripe_rows=stripe_rows).collect()} == want
+
+
 def test_rank_flips_equal_brute_force(spark):
     rng = random.Random(8)
     rows = [(rng.choice([0.1, 0.5, rng.random()]), rng.choice([0.2, rng.random()]), rng.random() < 0.5) for _ in range(150)]
