@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,3 +83,12 @@ def signed_to_unit(score: Column) -> Column:
 def gated(valid: Column, score: Column) -> Column:
     """0 where the claim isn't valid; null validity raises."""
     return F.when(valid, score).when(~valid, 0.0).otherwise(F.raise_error(F.lit("claim validity is missing")).cast("double"))
+
+
+def place_among(value: Column, bounds: Sequence[float]) -> Column:
+    """How many of the rising bounds aren't over the value, by halving."""
+    if not bounds:
+        return F.lit(0)
+    table = F.expr(f"array({', '.join(f"double('{b!r}')" for b in bounds)})")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= value, at + step).otherwise(at))

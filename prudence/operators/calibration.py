@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prudence.functions.values import log_loss, logit_loss, ratio, sigmoid, weighted_geometric_mean
+from prudence.functions.values import finite, log_loss, logit_loss, place_among, ratio, sigmoid, weighted_geometric_mean
 from prudence.operators import ranking
+from prudence.sources.stages import stored
+
+#: Bins into which a round of exact selection cuts a stretch.
+BINS = 1024
 
 
 def edges(bins: int) -> list[float]:
@@ -100,13 +105,66 @@ def temperature_nll(df: DataFrame, temperature: float = 1.0, margin: str = "answ
     return df.agg(F.avg(logit_loss(F.col(margin) / F.lit(float(temperature)), F.col(correct).cast("double"))).alias("nll"))
 
 
+def order_statistics(df: DataFrame, value: str, places: Callable[[int], Sequence[int]]) -> dict[int, float]:
+    """Exact values at places (from 0) of the sorted finite values; `places` gets their number.
+
+    Distinct values are counted once. Every round cuts the stretch that holds a place into BINS bins and goes on with
+    the bin that the place falls into, from its least to its largest value, until that is one value. A round is one
+    aggregation, of which at most BINS rows a place come to the driver; no task holds the values.
+    """
+    x = finite(F.col(value))
+    counts = stored(df.groupBy(x.alias("v")).agg(F.count("*").alias("n")).where("v IS NOT NULL"), "counts")
+    whole = counts.agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    wanted = sorted(set(places(whole["n"] or 0)))
+    if not wanted:
+        return {}
+    if wanted[0] < 0 or wanted[-1] >= whole["n"]:
+        raise ValueError(f"there are {whole['n']} values")
+    found: dict[int, float] = {}
+    stretches = {(whole["lo"], whole["hi"], 0): wanted}  # least value, largest value, values before: places
+    while stretches:
+        found |= {k: lo for (lo, hi, _), ks in stretches.items() if lo == hi for k in ks}
+        open_ones = sorted(k for k in stretches if k[0] != k[1])
+        if not open_ones:
+            break
+        lows, highs = ([k[i] for k in open_ones] for i in (0, 1))
+        at = place_among(F.col("v"), lows)
+        of = lambda values: F.get(F.expr(f"array({', '.join(f"double('{b!r}')" for b in values)})"), F.col("_at") - 1)
+        inside = counts.withColumn("_at", at).withColumns({"_lo": of(lows), "_hi": of(highs)}).where("_at > 0 AND v <= _hi")
+        # halves first, so that the width of the widest stretch is finite
+        share = (F.col("v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        binned = inside.groupBy("_at", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        bins = defaultdict(list)
+        for r in binned.collect():
+            bins[r["_at"] - 1].append((r["bin"], r["n"], r["lo"], r["hi"]))
+        after = defaultdict(list)
+        for i, key in enumerate(open_ones):
+            before, rows = key[2], iter(sorted(bins[i]))
+            row = next(rows)
+            for k in stretches[key]:
+                while k >= before + row[1]:
+                    before, row = before + row[1], next(rows)
+                after[row[2], row[3], before].append(k)
+        stretches = after
+    return found
+
+
 def quantile_candidates(df: DataFrame, confidence: str = "confidence", grid: int = 101) -> DataFrame:
-    """Distinct linear quantiles of the confidences, with 0 and 1: candidate. Exact quantiles need counts by value only."""
+    """Distinct linear quantiles of the confidences, exact ones, with 0 and 1: candidate."""
     if grid < 3:
         raise ValueError("the grid needs three points or more")
-    places = F.array(*(F.lit(i / (grid - 1)) for i in range(grid)))
-    found = df.agg(F.percentile(F.col(confidence), places).alias("q"))
-    return found.select(F.explode(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.coalesce("q", F.array().cast("array<double>"))))).alias("candidate"))
+    spots = {}
+
+    def places(n: int) -> list[int]:
+        spots.update({i: divmod(i * (n - 1), grid - 1) for i in range(grid)} if n else {})
+        return [k for at, rest in spots.values() for k in ((at, at + 1) if rest else (at,))]
+
+    known = order_statistics(df, confidence, places)
+    found = {0.0, 1.0}
+    for at, rest in spots.values():
+        low, high = known[at], known[at + 1] if rest else known[at]
+        found.add(low + (high - low) * (rest / (grid - 1)))
+    return df.sparkSession.createDataFrame([(x,) for x in sorted(found)], "candidate double")
 
 
 def threshold_pairs(df: DataFrame, confidence: str = "confidence", correct: str = "correct", grid: int = 101) -> DataFrame:

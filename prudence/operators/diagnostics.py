@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prudence.functions.values import ratio
+from prudence.functions.values import place_among, ratio
 from prudence.operators import labels
 from prudence.operators.ranks import average_rank, correlations  # noqa: F401, part of the diagnostics
 from prudence.sources.stages import stored
@@ -26,15 +26,6 @@ def _cuts(found: list[float] | None) -> list[float]:
     return sorted({*found, *(math.nextafter(x, math.inf) for x, y in zip(found, found[1:], strict=False) if x == y)})
 
 
-def _stripe(x: str, bounds: list[float]) -> Column:
-    """How many of the rising bounds aren't over x, by halving."""
-    if not bounds:
-        return F.lit(0)
-    table = F.expr(f"array({', '.join(f"double('{b!r}')" for b in bounds)})")
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= F.col(x), at + step).otherwise(at))
-
-
 def signs(a: np.ndarray, b: np.ndarray, right: np.ndarray, wrong: np.ndarray) -> np.ndarray:
     """Numbers of (right, wrong) pairs by the signs of their differences in a and in b, each from -1 to 1, over weighted points.
 
@@ -79,7 +70,7 @@ def rank_flips(df: DataFrame, baseline: str = "confidence", alternative: str = "
     places = [i / g for i in range(1, g)]
     quantiles = points.agg(*(F.percentile_approx(x, places, 100 * STRIPES).alias(x) for x in ("a", "b"))).first()
     bounds = {x: _cuts(quantiles[x]) for x in ("a", "b")}
-    points = stored(points.withColumns({"i": _stripe("a", bounds["a"]), "j": _stripe("b", bounds["b"])}), "stripes")
+    points = stored(points.withColumns({"i": place_among(F.col("a"), bounds["a"]), "j": place_among(F.col("b"), bounds["b"])}), "stripes")
     for x, i, flat in (("a", "i", "flat_i"), ("b", "j", "flat_j")):
         points = points.join(F.broadcast(points.groupBy(i).agg((F.min(x) == F.max(x)).alias(flat))), i)
     cells = points.groupBy("i", "j", "flat_i", "flat_j").agg(F.sum("right").alias("right"), F.sum("wrong").alias("wrong"))

@@ -522,12 +522,12 @@ def fit_temperature(spark, sf_dir):
     return before.join(calibration.temperature_nll(df, t).withColumnRenamed("nll", "nll_after")).withColumn("temperature", F.lit(t))
 
 
-_QUANTILES = f"SELECT DISTINCT candidate FROM (SELECT unnest(quantile_cont(confidence, [{', '.join(f'{i / 20!r}' for i in range(21))}]) || [0.0, 1.0]) AS candidate FROM e)"
+_QUANTILES = f"SELECT DISTINCT candidate FROM (SELECT unnest(quantile_cont(confidence, [{', '.join(f'{i / 100!r}' for i in range(101))}]) || [0.0, 1.0]) AS candidate FROM e)"
 
 
 @query(f"WITH {S.WITH_E} SELECT DISTINCT round(candidate, 9) AS candidate FROM ({_QUANTILES})")
 def quantile_candidates(spark, sf_dir):
-    return calibration.quantile_candidates(S.events(spark, sf_dir), grid=21).select(F.round("candidate", 9).alias("candidate")).distinct()
+    return calibration.quantile_candidates(S.events(spark, sf_dir)).select(F.round("candidate", 9).alias("candidate")).distinct()
 
 
 @query(f"""WITH {S.WITH_E}, q AS ({_QUANTILES}), n AS (SELECT count(*) AS n FROM e), pr AS (SELECT a.candidate AS lo, b.candidate AS hi FROM q a, q b WHERE a.candidate < b.candidate),
@@ -537,17 +537,6 @@ def quantile_candidates(spark, sf_dir):
     SELECT round(lo, 9) AS abstain_threshold, round(hi, 9) AS answer_threshold, an AS answer_count, bn AS abstain_count, round(risk, 9) AS answer_risk, round(bad, 9) AS abstain_correct_rate, round(broken, 9) AS total_constraint_violation, ok AS constraints_satisfied FROM v
     ORDER BY ok DESC, CASE WHEN ok THEN 0 ELSE broken END, an DESC, an + bn DESC, CASE WHEN ok THEN risk ELSE 0 END, CASE WHEN ok THEN bad ELSE 0 END, lo, hi LIMIT 1""")
 def threshold_search(spark, sf_dir):
-    best = calibration.select_thresholds(S.events(spark, sf_dir), grid=21)
-    return best.select("abstain_threshold", "answer_threshold", "answer_count", "abstain_count", "answer_risk", "abstain_correct_rate", "total_constraint_violation", "constraints_satisfied")
-
-
-@query()
-def quantile_candidates_full(spark, sf_dir):
-    return calibration.quantile_candidates(S.events(spark, sf_dir)).select(F.round("candidate", 9).alias("candidate")).distinct()
-
-
-@query()
-def threshold_search_full(spark, sf_dir):
     best = calibration.select_thresholds(S.events(spark, sf_dir))
     return best.select("abstain_threshold", "answer_threshold", "answer_count", "abstain_count", "answer_risk", "abstain_correct_rate", "total_constraint_violation", "constraints_satisfied")
 

@@ -330,13 +330,25 @@ def test_containing_equals_search(spark):
     assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 5), (6, 2)]
 
 
+def test_order_statistics_are_exact(spark):
+    """Values crowded at many sizes, so that many rounds are needed; ties, nulls and values that aren't finite."""
+    rng = random.Random(6)
+    values = [*(10.0 ** rng.randint(-300, 300) * rng.choice([-1, 1]) for _ in range(200)), *[0.25] * 90, 1.7e308, -1.7e308, *(1 + 2.0**-52 * i for i in range(50))]
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan"), float("inf")]], "v double")
+    every = calibration.order_statistics(df, "v", lambda n: range(n))
+    assert [every[k] for k in range(len(values))] == sorted(values)
+    assert calibration.order_statistics(df.limit(0), "v", lambda n: range(n)) == {}
+    with pytest.raises(ValueError):
+        calibration.order_statistics(df, "v", lambda n: [n])
+
+
 def test_registered_thresholds_search_the_whole_grid(spark):
     from prudence.plans import catalog, surrogate
 
     data = "/root/testdata/sf0.001"
     rows = [(r.confidence, r.correct) for r in surrogate.events(spark, data).select("confidence", "correct").collect()]
     grid = sorted({0.0, 1.0, *np.quantile([c for c, _ in rows], np.arange(101) / 100)})
-    got = sorted(r.candidate for r in catalog.QUERIES["quantile_candidates_full"](spark, data).collect())
+    got = sorted(r.candidate for r in catalog.QUERIES["quantile_candidates"](spark, data).collect())
     assert np.allclose(got, sorted({round(float(g), 9) for g in grid}), atol=2e-9)
     n, best = len(rows), None
     for i, low in enumerate(grid):
@@ -349,7 +361,7 @@ def test_registered_thresholds_search_the_whole_grid(spark):
             ok, broken = risk <= 0.1 and bad <= 0.25, round(max(0, risk - 0.1) + max(0, bad - 0.25), 9)
             key = (not ok, 0 if ok else broken, -len(above), -len(above) - len(below), round(risk, 9) if ok else 0, round(bad, 9) if ok else 0, low, high)
             best = min(best, key) if best else key
-    r = catalog.QUERIES["threshold_search_full"](spark, data).first()
+    r = catalog.QUERIES["threshold_search"](spark, data).first()
     assert np.allclose([r.abstain_threshold, r.answer_threshold], best[-2:], atol=2e-9)
 
 
