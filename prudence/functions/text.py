@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from prudence.functions.values import variant_flag
+
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 #: Words without weight in claim checks.
@@ -218,11 +220,43 @@ def upper_label(value: Column) -> Column:
     return F.upper(F.trim(F.coalesce(value.cast("string"), F.lit(""))))
 
 
+def variant_reasons(value: Column, depth: int = 3) -> Column:
+    """Reasons of a VARIANT in upper case with _ for spaces; blank ones are dropped.
+
+    A text is parted by commas, semicolons and bars, unless it is JSON: then it counts as what it encodes, be that
+    encoded once more. Of an object those keys count whose value is a true flag, of a list all items, each read in the
+    same way down to `depth` lists within each other; deeper ones are read as texts. Other values are their text.
+    """
+
+    def label(text: Column) -> Column:
+        return F.replace(F.upper(clean_text(text)), F.lit(" "), F.lit("_"))
+
+    def decoded(v: Column) -> Column:
+        """What a text encodes; Spark reads JSON up to its end and passes over what follows, so the last character must fit."""
+        text = F.trim(F.try_variant_get(v, "$", "string"))
+        ends = F.when(text.startswith("["), text.endswith("]")).when(text.startswith("{"), text.endswith("}")).when(text.startswith('"'), (F.length(text) > 1) & text.endswith('"')).otherwise(text.rlike(r"^(true|false|null|-?\d+(\.\d+)?([eE][+-]?\d+)?)$"))
+        return F.when((F.schema_of_variant(v) == "STRING") & ends, F.coalesce(F.try_parse_json(text), v)).otherwise(v)
+
+    def read(v: Column, left: int) -> Column:
+        once = F.transform(F.array(v), lambda x: decoded(decoded(x)))
+
+        def told(x: Column) -> Column:
+            held = F.schema_of_variant(x)
+            plain = F.try_variant_get(x, "$", "string")
+            flags = F.try_variant_get(x, "$", "map<string,variant>")
+            out = F.when(held.startswith("OBJECT"), F.transform(F.map_keys(F.map_filter(flags, lambda _, active: F.coalesce(variant_flag(active, "validity"), F.lit(False)))), label))
+            if left:
+                out = out.when(held.startswith("ARRAY"), F.flatten(F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda i: read(i, left - 1))))
+            return out.when(held == "STRING", F.transform(F.split(plain, "[,;|]"), label)).when(held != "VOID", F.array(label(x.cast("string"))))
+
+        return F.filter(F.coalesce(F.flatten(F.transform(once, told)), F.array().cast("array<string>")), lambda r: r != "")
+
+    return read(value, depth)
+
+
 def parse_reasons(text: Column) -> Column:
-    """Reasons from a JSON list or a text parted by commas, semicolons or bars; empty parts are dropped."""
-    listed = F.from_json(text, "array<string>")
-    parts = F.when(text.startswith("["), listed).otherwise(F.split(text, r"[,;|]"))
-    return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda r: F.trim(r)), lambda r: r != "")
+    """Reasons of a text, JSON or not, by the rules of variant_reasons."""
+    return variant_reasons(F.variant_get(F.parse_json(F.to_json(F.struct(text.alias("v")))), "$.v", "variant"))
 
 
 def markdown_cell(text: Column, limit: int) -> Column:

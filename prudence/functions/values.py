@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that each kind of flag accepts.
-TRUE_WORDS = {"answerability": ("true", "1", "yes"), "correctness": ("true", "1", "yes", "correct", "1.0"), "decision": ("true", "1", "yes", "correct"), "validity": ("true", "1", "yes", "valid")}
-FALSE_WORDS = {"answerability": ("false", "0", "no"), "correctness": ("false", "0", "no", "incorrect", "0.0"), "decision": ("false", "0", "no", "incorrect"), "validity": ("false", "0", "no", "invalid")}
+TRUE_WORDS = {"answerability": ("true", "1", "yes"), "correctness": ("true", "1", "yes", "correct", "1.0"), "decision": ("true", "1", "yes", "correct"), "validity": ("true", "yes", "correct", "1", "1.0", "valid")}
+FALSE_WORDS = {"answerability": ("false", "0", "no"), "correctness": ("false", "0", "no", "incorrect", "0.0"), "decision": ("false", "0", "no", "incorrect"), "validity": ("false", "no", "incorrect", "0", "0.0", "invalid")}
 
 
 def flag(value: Column, kind: str, strict: bool = False) -> Column:
@@ -19,6 +19,57 @@ def flag(value: Column, kind: str, strict: bool = False) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit(f"not a flag of {kind}: "), F.coalesce(word, F.lit("null")))).cast("boolean")) if strict else out
 
 
+def _unread(kind: str, shown: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"not a flag of {kind}: "), F.coalesce(shown, F.lit("null")))).cast("boolean")
+
+
+def _word_flag(word: Column, kind: str) -> Column:
+    word = F.lower(F.trim(word))
+    return F.when(word.isin(*TRUE_WORDS[kind]), True).when(word.isin(*FALSE_WORDS[kind]), False)
+
+
+def _whole_flag(x: Column) -> Column:
+    return F.when(x == 1, True).when(x == 0, False)
+
+
+def _real_flag(x: Column, kind: str) -> Column:
+    """Answerability takes no fractions; correctness takes what is within a billionth of 1."""
+    if kind == "answerability":
+        return F.lit(None).cast("boolean")
+    one = F.abs(x - 1) <= 1e-9 * F.greatest(F.abs(x), F.lit(1.0)) if kind == "correctness" else x == 1
+    return F.when(one, True).when(x == 0, False)
+
+
+def variant_flag(value: Column, kind: str, strict: bool = False) -> Column:
+    """Boolean of a VARIANT by what it holds: a boolean, a whole number, a fraction or a word, each by the rules of the kind; null or an error for the rest."""
+    held = F.schema_of_variant(value)
+    out = (
+        F.when(held == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .when(held == "BIGINT", _whole_flag(F.try_variant_get(value, "$", "bigint")))
+        .when(held.startswith("DECIMAL") | held.isin("DOUBLE", "FLOAT"), _real_flag(F.try_variant_get(value, "$", "double"), kind))
+        .when(held == "STRING", _word_flag(F.try_variant_get(value, "$", "string"), kind))
+    )
+    return F.coalesce(out, _unread(kind, value.cast("string"))) if strict else out
+
+
+def flag_column(df: DataFrame, name: str, kind: str, strict: bool = False) -> Column:
+    """Boolean of a column by its type: boolean, whole number, fraction, text or VARIANT. Other types have none."""
+    x, held = F.col(f"`{name}`"), dict(df.dtypes)[name]
+    if held == "variant":
+        return variant_flag(x, kind, strict)
+    if held == "boolean":
+        out = x
+    elif held in ("tinyint", "smallint", "int", "bigint"):
+        out = _whole_flag(x)
+    elif held in ("float", "double") or held.startswith("decimal"):
+        out = _real_flag(x.cast("double"), kind)
+    elif held == "string":
+        out = _word_flag(x, kind)
+    else:
+        out = F.lit(None).cast("boolean")
+    return F.coalesce(out, _unread(kind, x.cast("string"))) if strict else out
+
+
 def finite(value: Column) -> Column:
     """The value as a double; null where it isn't a finite number."""
     x = value.try_cast("double")

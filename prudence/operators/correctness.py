@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prudence.functions import text as T
-from prudence.functions.values import flag
+from prudence.functions.values import flag_column
 
 #: Aliases of stored correctness, in order of preference.
 STORED = ("is_correct", "correct", "prediction_correct", "answer_correct", "exact_match_correct", "exact_match", "em", "qa_correct", "correctness", "is_prediction_correct", "label_correct")
@@ -40,7 +40,7 @@ def task_correctness(df: DataFrame, prediction: str = "prediction_text", referen
     """
     choice = T.upper_label(F.col(decision))
     choice = F.when(choice.isin("ANSWER", "ABSTAIN"), choice).otherwise(F.raise_error(F.concat(F.lit("unknown decision: "), choice)).cast("string"))
-    can = flag(F.col(answerable), "answerability", strict=True)
+    can = flag_column(df, answerable, "answerability", strict=True)
     df = df.withColumn(decision, choice).withColumn(answerable, can)
     scored = (F.col(decision) == "ANSWER") & F.col(answerable)
     df = df.withColumn("exact_match", F.when(scored, T.exact_match(F.col(prediction), F.col(references))).otherwise(0.0))
@@ -90,5 +90,5 @@ def relaxed_correctness(prediction: Column, references: Column, answerable: Colu
 
 def stored_correctness(df: DataFrame) -> Column:
     """First stored flag that reads as one; null if none does."""
-    have = [flag(F.col(c), "correctness") for c in STORED if c in df.columns]
+    have = [flag_column(df, c, "correctness") for c in STORED if c in df.columns]
     return F.coalesce(*have) if have else F.lit(None).cast("boolean")

@@ -83,6 +83,42 @@ def test_reasons(spark):
     assert [r.x for r in df.select(T.parse_reasons(F.col("t")).alias("x")).collect()] == [["A", "B"], ["A", "B", "C"], [], []]
 
 
+REASONS = [
+    ("too short; question form", ["TOO_SHORT", "QUESTION_FORM"]), ('{"TOO_SHORT": true, "X": false, "y  z": "yes", "w": 1, "v": 1.0, "u": "0", "t": null}', ["TOO_SHORT", "V", "W", "Y_Z"]), ('"TOO_SHORT"', ["TOO_SHORT"]),
+    ('["a|b", ["c, d", {"e": true}], null, "", 5, true]', ["A", "B", "C", "D", "E", "5", "TRUE"]), ('"[\\"a\\", \\"b c\\"]"', ["A", "B_C"]), ("null", []), ("5", ["5"]), ("true", ["TRUE"]), ("1,2", ["1", "2"]), ("1 x", ["1_X"]),
+    ('["a"] b', ['["A"]_B']), ("  ", []), (None, []), (" ;, |", []), ("{}", []), ("[]", []), ('{"a": true} x', ['{"A":_TRUE}_X']),
+]
+
+
+def test_reasons_of_every_form(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(REASONS)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", T.parse_reasons(F.col("t")).alias("x")).collect()}
+    assert [sorted(got[i]) if t and t.startswith("{") else got[i] for i, (t, _) in enumerate(REASONS)] == [sorted(want) if t and t.startswith("{") else want for t, want in REASONS]
+    typed = spark.sql("SELECT to_variant_object(array('a b', 'c;d')) AS v UNION ALL SELECT to_variant_object(map('x y', true, 'z', false)) UNION ALL SELECT parse_json('7.5')")
+    assert sorted(r.x for r in typed.select(T.variant_reasons(F.col("v")).alias("x")).collect()) == [["7.5"], ["A_B", "C", "D"], ["X_Y"]]
+
+
+FLAGS = {  # JSON: what answerability, correctness, decision and validity make of it
+    "true": (True,) * 4, "false": (False,) * 4, "1": (True,) * 4, "0": (False,) * 4, "2": (None,) * 4, "1.0": (None, True, True, True), "0.0": (None, False, False, False), "1.0000000001": (None, True, None, None), "null": (None,) * 4, "[true]": (None,) * 4,
+    '" Yes "': (True,) * 4, '"no"': (False,) * 4, '"1"': (True,) * 4, '"1.0"': (None, True, None, True), '"correct"': (None, True, True, True), '"incorrect"': (None, False, False, False), '"valid"': (None, None, None, True), '"invalid"': (None, None, None, False), '"maybe"': (None,) * 4,
+}
+
+
+def test_flags_by_what_a_variant_holds(spark):
+    df = spark.createDataFrame([(t,) for t in FLAGS], "t string").withColumn("v", F.parse_json("t"))
+    kinds = ("answerability", "correctness", "decision", "validity")
+    got = {r.t: tuple(r[1:]) for r in df.select("t", *(V.variant_flag(F.col("v"), k).alias(k) for k in kinds)).collect()}
+    assert got == FLAGS
+    with pytest.raises(Exception, match="not a flag of decision"):
+        df.where("t = '2'").select(V.variant_flag(F.col("v"), "decision", strict=True)).collect()
+
+
+def test_flags_by_column_type(spark):
+    df = spark.createDataFrame([(True, 1, 1.0, "valid", [1]), (False, 0, 0.5, "no", [0]), (None, 3, None, None, None)], "a boolean, b int, c double, d string, e array<int>")
+    got = [tuple(r) for r in df.select(*(V.flag_column(df, c, "validity") for c in df.columns)).collect()]
+    assert got == [(True, True, True, True, None), (False, False, None, False, None), (None, None, None, None, None)]
+
+
 def test_flags_and_numbers(spark):
     df = spark.createDataFrame([("yes", "0.5"), ("Correct", "nan"), ("no", "inf"), ("maybe", "x")], "f string, n string")
     rows = df.select(V.flag(F.col("f"), "correctness").alias("f"), V.finite(F.col("n")).alias("n")).collect()
