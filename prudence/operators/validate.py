@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from prudence.functions import text as T
 from prudence.functions.values import in_range
+from prudence.sources.stages import delete
 
 
 class InvalidRows(ValueError):
@@ -30,6 +31,45 @@ def require(df: DataFrame, checks: dict[str, Column], allow_empty: bool = False)
     return df
 
 
+def failures(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Rows that fail each check (null counts as failed): check, failed, total. One aggregation of one pass."""
+    one = df.agg(F.count("*").alias("total"), *(F.count_if(~F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, c in enumerate(checks.values())))
+    each = F.array(*(F.struct(F.lit(name).alias("check"), F.col(f"c{i}").alias("failed")) for i, name in enumerate(checks)))
+    return one.select(F.inline(each), "total").select("check", "failed", "total")
+
+
+class Watch:
+    """Checks that ride on the pass which consumes the rows, as observed metrics.
+
+    df is the table to go on with; after an action over all of its rows, verify() raises if any failed. The action runs
+    once and nothing is read for the checks. An action that ends early, such as first(), observes part of the rows.
+    """
+
+    def __init__(self, df: DataFrame, checks: dict[str, Column], allow_empty: bool = False):
+        self.names, self.allow_empty, self.seen = list(checks), allow_empty, Observation()
+        self.df = df.observe(self.seen, F.count(F.lit(1)).alias("n"), *(F.count_if(~F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, c in enumerate(checks.values())))
+
+    def verify(self) -> int:
+        """The number of rows that passed by; raises InvalidRows if one failed a check, or there was none."""
+        got = self.seen.get
+        if not got.get("n") and not self.allow_empty:
+            raise InvalidRows("there are no rows")
+        if bad := [f"{name}: {got[f'c{i}']} rows" for i, name in enumerate(self.names) if got.get(f"c{i}")]:
+            raise InvalidRows("; ".join(bad))
+        return got.get("n") or 0
+
+
+def write_checked(df: DataFrame, path: str, checks: dict[str, Column], allow_empty: bool = False) -> int:
+    """Write Parquet and check the rows in the same job. If one fails, the files are deleted and InvalidRows is raised; else the number of rows."""
+    watch = Watch(df, checks, allow_empty)
+    watch.df.write.parquet(path)
+    try:
+        return watch.verify()
+    except InvalidRows:
+        delete(df.sparkSession, path)
+        raise
+
+
 def probability(column: str) -> dict[str, Column]:
     return {f"{column} between 0 and 1": in_range(F.col(column))}
 

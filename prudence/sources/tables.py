@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from prudence.operators.resample import stratified_split
 from prudence.operators.validate import InvalidRows, require
+from prudence.sources.stages import stored
 
 EXAMPLE = "id string, question string, context string, answers struct<text: array<string>, answer_start: array<int>>"
 PREDICTION = "row_idx bigint, id string, split string, question string, context string, prediction_text string, reference_answers array<string>, is_answerable boolean, decision string, confidence double"
@@ -28,11 +30,28 @@ def read_jsonl(spark: SparkSession, path: str, schema: S.StructType | str | None
 
 
 def with_row_index(df: DataFrame, order: Sequence[str] = (), name: str = "row_idx") -> DataFrame:
-    """Number rows from 0. With order: by those columns, dealt by ranges. Without: in the order of the files, which holds for inputs read as they lie."""
+    """Number rows from 0, with JVM columns only.
+
+    With order: by those columns; the rows are dealt by ranges, sorted inside them and stored. Without: in the order of
+    the files by path and of the rows inside them, for a table as it is read from files. Either way the parts' counts,
+    a table of a row a part, give the offsets.
+    """
     if order:
-        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = S.StructType([*df.schema.fields, S.StructField(name, S.LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+        df = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_start": F.lit(0).cast("long"), "_at": F.monotonically_increasing_id()}), "ordered")
+    else:
+        df = df.select("*", F.col("_metadata.file_path").alias("_part"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    parts = df.groupBy("_part", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = W.orderBy("_part", "_start").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("_part", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return df.join(F.broadcast(parts), ["_part", "_start"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_start", "_at", "_shift")
+
+
+def positional_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two tables read from files, side by side by their place; tables of different lengths raise."""
+    a, b = with_row_index(left), with_row_index(right)
+    both = a.withColumn("_l", F.lit(True)).join(b.withColumn("_r", F.lit(True)), "row_idx", "full")
+    whole = F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), F.col("row_idx")).otherwise(F.raise_error(F.lit("the tables have different numbers of rows")).cast("long"))
+    return both.withColumn("row_idx", whole).drop("_l", "_r")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
