@@ -20,8 +20,8 @@ def total_of(value: Column) -> Column:
     return F.coalesce(F.sum(value), F.lit(0.0))
 
 
-def selective_metrics(df: DataFrame, by: Sequence[str] = (), decision: str = "decision", answerable: str = "is_answerable", correct: str = "is_correct", exact: str = "exact_match", f1: str = "token_f1") -> DataFrame:
-    """Counts and rates of answers and abstentions, for all rows or for groups; a rate over no rows is 0."""
+def selective_rates(decision: str = "decision", answerable: str = "is_answerable", correct: str = "is_correct", exact: str = "exact_match", f1: str = "token_f1") -> tuple[dict[str, Column], dict[str, Column]]:
+    """Aggregates of answers and abstentions, and the rates over them; a rate over no rows is 0. Names with _ are of use for rates alone."""
     answer, abstain, can, right = F.col(decision) == "ANSWER", F.col(decision) == "ABSTAIN", F.col(answerable), F.col(correct)
     counts = {
         "total": F.count("*"), "answered": count_of(answer), "abstained": count_of(abstain), "answerable_count": count_of(can), "unanswerable_count": count_of(~can),
@@ -29,7 +29,6 @@ def selective_metrics(df: DataFrame, by: Sequence[str] = (), decision: str = "de
         "unnecessary_abstentions": count_of(abstain & can), "answered_unanswerable": count_of(answer & ~can),
         "_em": total_of(F.col(exact)), "_f1": total_of(F.col(f1)), "_aem": total_of(F.when(answer, F.col(exact))), "_af1": total_of(F.when(answer, F.col(f1))),
     }
-    out = df.groupBy(*by).agg(*(c.alias(n) for n, c in counts.items()))
     c = F.col
     rates = {
         "accuracy": ratio(c("total_correct"), c("total"), 0.0), "coverage": ratio(c("answered"), c("total"), 0.0), "abstention_rate": ratio(c("abstained"), c("total"), 0.0),
@@ -38,6 +37,13 @@ def selective_metrics(df: DataFrame, by: Sequence[str] = (), decision: str = "de
         "unnecessary_abstention_rate": ratio(c("unnecessary_abstentions"), c("answerable_count"), 0.0), "unanswerable_answer_rate": ratio(c("answered_unanswerable"), c("unanswerable_count"), 0.0),
         "correct_abstention_rate": ratio(c("correct_abstentions"), c("unanswerable_count"), 0.0),
     }
+    return counts, rates
+
+
+def selective_metrics(df: DataFrame, by: Sequence[str] = (), decision: str = "decision", answerable: str = "is_answerable", correct: str = "is_correct", exact: str = "exact_match", f1: str = "token_f1") -> DataFrame:
+    """Counts and rates of answers and abstentions, for all rows or for groups; a rate over no rows is 0."""
+    counts, rates = selective_rates(decision, answerable, correct, exact, f1)
+    out = df.groupBy(*by).agg(*(c.alias(n) for n, c in counts.items()))
     return out.select(*by, *(n for n in counts if n[0] != "_"), *(r.alias(n) for n, r in rates.items()))
 
 
@@ -103,7 +109,7 @@ def value_counts(df: DataFrame, key: str, default: str = "unknown") -> DataFrame
 
 
 def group_impact(df: DataFrame, keys: Sequence[str], correct: str = "correct", means: Sequence[str] = ()) -> DataFrame:
-    """Counts, rates, risk and signal means for every value of each key, in one pass over the rows (grouping sets)."""
+    """Counts, rates, risk and signal means for every value of each key, over rows repeated for each key; summaries.grouped_report does it by grouping sets."""
     long = df.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("grouping"), F.col(k).cast("string").alias("value")) for k in keys))).alias("_g")).select("*", "_g.grouping", "_g.value")
     out = long.groupBy("grouping", "value").agg(F.count("*").alias("count"), count_of(F.col(correct)).alias("correct_count"), *(F.avg(m).alias(f"mean_{m}") for m in means))
     total = F.broadcast(df.agg(F.count("*").alias("_total")))
