@@ -674,8 +674,8 @@ def _drawn(replicates: int, seed: int = 17) -> str:
     fifth = lambda x: f"{x} * {x} % {p} * ({x} * {x} % {p}) % {p} * {x} % {p}"
     times = " + ".join(f"CASE WHEN x >= {t} THEN 1 ELSE 0 END" for t in resample.DRAWN)
     return f"""b AS (SELECT row_idx, correct, r AS replicate, (row_idx % {p} * {resample.ROW} + r * {resample.REPLICATE} + {seed * resample.SEED + 1}) % {p} AS x FROM (SELECT row_idx, any_value(correct) AS correct FROM m GROUP BY row_idx), range({replicates}) g(r)),
-        b2 AS (SELECT row_idx, correct, replicate, ({fifth('x')} + replicate * {resample.AGAIN}) % {p} AS x FROM b), b3 AS (SELECT row_idx, correct, replicate, {fifth('x')} AS x FROM b2),
-        d AS MATERIALIZED (SELECT row_idx, correct, replicate, {times} AS t FROM b3 WHERE x >= {resample.DRAWN[0]}),
+        b2 AS (SELECT row_idx, correct, replicate, {fifth('x')} AS x FROM b),
+        d AS MATERIALIZED (SELECT row_idx, correct, replicate, {times} AS t FROM b2 WHERE x >= {resample.DRAWN[0]}),
         o AS (SELECT method, replicate, t, CASE WHEN d.correct THEN 0 ELSE 1 END AS w, sum(t) OVER k AS n1, sum(CASE WHEN d.correct THEN 0 ELSE t END) OVER k AS w1 FROM d JOIN c USING (row_idx) WINDOW k AS (PARTITION BY method, replicate ORDER BY answered ROWS UNBOUNDED PRECEDING)),
         areas AS MATERIALIZED (SELECT method, replicate, sum(list_sum(list_transform(range(t::BIGINT), lambda k: (w1 - k * w) / (n1 - k)))) / sum(t) AS aurc FROM o GROUP BY method, replicate)"""
 
