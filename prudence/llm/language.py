@@ -111,6 +111,8 @@ class Model:
         """Of each text: posterior mass by language, number of words with letters, and how many of those the sample's letter pairs make up, each word by its share."""
         k, n = len(self.labels), len(part)
         w = Words(part)
+        if any(len(x) > LONGEST_WORD for x in w.words):
+            w = Words(pa.array([cut_words(x) for x in part.to_pylist()], pa.large_string()))
         mass, counted, fits = np.zeros((n, k)), np.zeros(n), np.zeros(n)
         if len(w.index):
             grams = Grams(w.words)

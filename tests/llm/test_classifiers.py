@@ -225,3 +225,15 @@ def test_ordinal_gradient():
     """A step along the fitted direction lowers the likelihood's loss: one feature, two grades."""
     w, cuts = toxicity.fit([np.array([0])] * 50 + [np.zeros(0, np.int64)] * 50, np.array([1] * 50 + [0] * 50), 1)
     assert w[0] > cuts[0] > 0
+
+
+def test_long_words_are_cut_at_every_size(monkeypatch):
+    """Padding of digits without a space between moves a text over the size at which it is labelled in parts; its label and score stay."""
+    words, model = small_model()
+    text = " ".join(words["aa"][:12] * 40) + " " + "".join(words["bb"]) * 400 + " "
+    got = []
+    for most in (10**9, 5_000):
+        monkeypatch.setattr(language, "SLICE_BYTES", most)
+        pred, score, _, _ = language.predicted(model, language.pa.array([text, "".join(words["aa"]) * 100, "x", None]))
+        got.append((pred, [round(float(x), 5) for x in score]))
+    assert got[0] == got[1]
