@@ -514,7 +514,14 @@ def apply_temperature(spark, sf_dir):
     return calibration.apply_temperature(df, 2.5).select("row_idx", "calibrated_confidence", "uncalibrated_confidence")
 
 
-@query()
+_FITTED = f"{_MARGIN} + CASE WHEN correct THEN 1.5 ELSE 0.0 END"
+
+
+@query(f"""WITH RECURSIVE {S.WITH_E}, v AS MATERIALIZED (SELECT {_FITTED} AS x, cast(correct AS int) AS y FROM e),
+    step(n, b) AS (SELECT 0, 0e0 UNION ALL SELECT n + 1, b + greatest(-1, least(1, CASE WHEN k > 1e-12 THEN -g / k ELSE -0.5 * sign(g) END)) FROM (
+        SELECT n, b, avg((1 / (1 + exp(-exp(b) * x)) - y) * x) * exp(b) AS g, avg(x * x / (1 + exp(-exp(b) * x)) / (1 + exp(exp(b) * x))) * exp(2 * b) + avg((1 / (1 + exp(-exp(b) * x)) - y) * x) * exp(b) AS k FROM step, v WHERE n < 40 GROUP BY n, b)),
+    t AS (SELECT exp(-b) AS t FROM step WHERE n = 40)
+    SELECT round(avg(greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))), 9) AS nll_before, round(avg(greatest(x / t, 0) - x / t * y + ln(1 + exp(-abs(x / t)))), 9) AS nll_after, round(any_value(t), 9) AS temperature FROM v, t""")
 def fit_temperature(spark, sf_dir):
     df = S.events(spark, sf_dir).select("row_idx", "correct", (F.expr(_MARGIN) + F.when(F.col("correct"), 1.5).otherwise(0.0)).alias("answer_null_margin"))
     t = calibration.fit_temperature(df)
