@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from prudence.functions import text as T
 from prudence.functions.values import variant_flag
-from prudence.operators import correctness
+from prudence.operators import correctness, labels, metrics, ranking, reports
 from prudence.plans import surrogate as S
 from prudence.plans import text_sql as X
-from prudence.plans.catalog import WITH_R, answered_pairs, query
+from prudence.plans.catalog import COVERAGES, ORACLES, WITH_R, answered_pairs, long, query, random_runs
 
 #: JSON of a flag as rows of every event carry it.
 _FLAGS = ("true", "false", "1", "0", "2", "1.0", "0.0", '" Yes "', '"no"', '"1.0"', '"correct"', '"incorrect"', '"valid"', '"invalid"', '"maybe"', "null")
@@ -57,3 +57,44 @@ def stored_correctness(spark, sf_dir):
         "row_idx", F.when(r == 1, F.col("correct")).alias("is_correct"), F.when(r == 2, F.when(F.col("row_idx") % 3 == 0, " Yes").otherwise("incorrect")).when(r == 0, "?").alias("exact_match"), F.when(r == 3, 1.0).when(r == 0, 0.5).alias("em")
     )
     return df.select("row_idx", correctness.stored_correctness(df).alias("stored"))
+
+
+def _clean(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[\\s\\x{{a0}}\\x{{3000}}]+', ' ', 'g'))"
+
+
+def _plain(x: str) -> str:
+    return f"array_to_string({X.plain_tokens(x)}, ' ')"
+
+
+_SAID = "CASE row_idx % 4 WHEN 0 THEN 'Claim: \"' || answer || '\"' WHEN 1 THEN 'Final statement:  ' || substring(answer, 1, 30) WHEN 2 THEN ' ' ELSE substring(answer, 1, 25) || '?' END"
+_BARE = f"""trim(trim(regexp_replace({_clean('said')}, '^({'|'.join(T.CLAIM_PREFIXES)})', '', 'i')), '"'' ')"""
+
+
+@query(f"""WITH {S.WITH_T}, v AS (SELECT *, {_SAID} AS said FROM t), b AS (SELECT *, {_BARE} AS bare, replace({_clean("substring(answer, 1, 60) || ' | ' || row_idx")}, '|', '\\|') AS cell FROM v)
+    SELECT row_idx, {_plain('question')} || '. ' || {_plain('answer')} AS prompt, CASE WHEN bare = '' OR right(bare, 1) IN ('.', '!', '?') THEN bare ELSE bare || '.' END AS claim, CASE WHEN length(cell) <= 40 THEN cell ELSE rtrim(substring(cell, 1, 39)) || '…' END AS cell FROM b""")
+def claim_texts(spark, sf_dir):
+    """Input of the claim generator, its output made a sentence, and a cell of a Markdown report."""
+    df = S.pairs(spark, sf_dir).withColumn("said", F.expr(_SAID))
+    cell = T.markdown_cell(F.concat(F.substring("answer", 1, 60), F.lit(" | "), F.col("row_idx").cast("string")), 40)
+    return df.select("row_idx", T.qa2d_prompt(F.col("question"), F.col("answer")).alias("prompt"), T.normalise_claim(F.col("said")).alias("claim"), cell.alias("cell"))
+
+
+_STORED = "CASE row_idx % 6 WHEN 0 THEN ' entailment ' WHEN 1 THEN 'Contradiction (strong)' WHEN 2 THEN 'is NEUTRAL' WHEN 3 THEN 'other' END"
+_MOST = "CASE WHEN entailment = greatest(entailment, neutral, contradiction) THEN 'ENTAILMENT' WHEN neutral = greatest(entailment, neutral, contradiction) THEN 'NEUTRAL' ELSE 'CONTRADICTION' END"
+
+
+@query(f"WITH {S.WITH_E} SELECT row_idx, upper(trim(coalesce({_STORED}, ''))) AS stored, CASE WHEN NOT claim_valid THEN 'INVALID_CLAIM' WHEN row_idx % 6 = 0 THEN 'ENTAILMENT' WHEN row_idx % 6 = 1 THEN 'CONTRADICTION' WHEN row_idx % 6 = 2 THEN 'NEUTRAL' WHEN row_idx % 6 = 5 THEN 'UNKNOWN' ELSE {_MOST} END AS label FROM e")
+def inferred_labels(spark, sf_dir):
+    """Labels from what is stored, else from the probabilities, where there are any."""
+    df = S.events(spark, sf_dir).withColumn("s", F.expr(_STORED))
+    known = lambda c: F.when(F.col("row_idx") % 6 != 5, F.col(c))
+    label = labels.inferred_nli_label(F.col("claim_valid"), F.col("s"), known("entailment"), known("neutral"), known("contradiction"))
+    return df.select("row_idx", T.upper_label(F.col("s")).alias("stored"), label.alias("label"))
+
+
+@query(f"SELECT p.method, p.target_coverage, p.risk, r.mean_selective_risk AS random_risk FROM ({ORACLES['matched_coverage']}) p JOIN ({ORACLES['multi_seed_summary']}) r ON round(p.target_coverage, 10) = round(r.target_coverage, 10)")
+def gain_over_random(spark, sf_dir):
+    """Every method's risk beside the mean risk of random abstention at the same coverage."""
+    points = ranking.matched_coverage(long(S.events(spark, sf_dir)), COVERAGES)
+    return reports.against_random(points, metrics.run_summary(random_runs(spark, sf_dir))).select("method", "target_coverage", "risk", "random_risk")

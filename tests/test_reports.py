@@ -24,7 +24,7 @@ def plain(v):
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", ["typed_flags", "claim_reasons", "diagnostic_and_forced", "stored_correctness", "native_baseline_summary", "verified_system_summary", "question_aware_report", "evidence_error_report", "investigation_summary", "check_failures", "near_tie_ranks", "paired_bootstrap", "quantile_candidates"])
+@pytest.mark.parametrize("name", ["typed_flags", "claim_reasons", "diagnostic_and_forced", "stored_correctness", "native_baseline_summary", "verified_system_summary", "question_aware_report", "evidence_error_report", "investigation_summary", "check_failures", "near_tie_ranks", "paired_bootstrap", "quantile_candidates", "claim_texts", "inferred_labels", "gain_over_random", "fit_temperature"])
 def test_query_equals_oracle(spark, duck, name):
     assert checks and reports_sql
     df = catalog.QUERIES[name](spark, DATA)
