@@ -6,7 +6,6 @@ from collections import defaultdict
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prudence.functions.values import finite, log_loss, logit_loss, place_among, ratio, sigmoid, weighted_geometric_mean
