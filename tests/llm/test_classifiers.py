@@ -237,3 +237,69 @@ def test_long_words_are_cut_at_every_size(monkeypatch):
         pred, score, _, _ = language.predicted(model, language.pa.array([text, "".join(words["aa"]) * 100, "x", None]))
         got.append((pred, [round(float(x), 5) for x in score]))
     assert got[0] == got[1]
+
+
+def test_quality_equals_a_direct_fit(tables):
+    """The query's scores from one plain solution: no partial sums, normal equations as least squares, isotonic by its min-max formula."""
+    docs, labels = tables
+    sample = quality.training_rows(docs, labels, "doc_id", "text").toPandas()
+    stats = quality.all_statistics(language.pa.array(sample.text))
+    y, fit = sample.y.to_numpy(float), (sample.part > 0).to_numpy()
+    mean, spread = stats.mean(0), np.where(stats.std(0) > 1e-9, stats.std(0), 1.0)
+    x = quality.fourier((stats - mean) / spread)
+    penalty = np.full(x.shape[1], quality.RIDGE * max(1.0, fit.sum()) / 100)
+    penalty[0] = 1e-9
+    rows = np.concatenate([x[fit], np.diag(np.sqrt(penalty))])
+    weights = np.linalg.lstsq(rows, np.concatenate([y[fit], np.zeros(len(penalty))]), rcond=None)[0]
+    raw = x[~fit] @ weights
+    order = np.argsort(raw, kind="stable")
+    level = np.array([max(min(y[~fit][order][i : j + 1].mean() for j in range(k, len(order))) for i in range(k + 1)) for k in range(len(order))])
+    steps = [raw[order][level == v].mean() for v in np.unique(level)], np.unique(level)
+    model = quality.Model(mean, spread, weights, steps)
+    every = docs.select("doc_id", "text").toPandas()
+    want = dict(zip(every.doc_id, model.score(quality.all_statistics(language.pa.array(every.text))), strict=True))
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+    assert len(got) == len(every) and np.allclose([got[k] for k in got], [want[k] for k in got], atol=1e-6)
+
+
+def test_fourier_features_approximate_the_kernel():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, quality.NAMES))
+    cosines = quality.fourier(x)[:, 1 + quality.NAMES :]
+    want = np.exp(-quality.GAMMA * ((x[:, None] - x[None]) ** 2).sum(2))
+    error = np.abs(cosines @ cosines.T - want)
+    assert error.mean() < 2 / np.sqrt(quality.FOURIER) and error.max() < 6 / np.sqrt(quality.FOURIER)
+
+
+def test_ordinal_fit_has_no_numeric_gradient():
+    """At the fitted weights and thresholds the penalised loss is flat: central differences of the loss written out by its formula."""
+    rng = np.random.default_rng(5)
+    size, n = 5, 300
+    rows = [np.flatnonzero(rng.random(size) < 0.4) for _ in range(n)]
+    grade = np.array([min(3, max(0, int(round(sum([0.8, 0.5, -0.4, 1.0, 0.1][k] for k in r) + rng.normal() * 0.7)))) for r in rows])
+    assert set(grade) == {0, 1, 2, 3}
+    balance = np.where(grade == 0, 0.5 / (grade == 0).sum(), 0.5 / (grade > 0).sum()) * n
+
+    def loss(z):
+        w, low, gaps = z[:size], z[size], z[size + 1 :]
+        edges = np.concatenate([[-np.inf], low + np.concatenate([[0], np.cumsum(np.exp(gaps))]), [np.inf]])
+        s = np.array([w[r].sum() for r in rows])
+        p = 1 / (1 + np.exp(s - edges[grade + 1])) - 1 / (1 + np.exp(s - edges[grade]))
+        return -(balance * np.log(p)).sum() / n + toxicity.L2 / 2 * (w**2).sum() + 1e-3 / 2 * (gaps**2).sum()
+
+    w, cuts = toxicity.fit(rows, grade, size)
+    z = np.concatenate([w, [cuts[0]], np.log(np.diff(cuts))])
+    step = 1e-5
+    gradient = np.array([(loss(z + step * e) - loss(z - step * e)) / (2 * step) for e in np.eye(len(z))])
+    start = np.concatenate([np.zeros(size), [1.0], np.zeros(2)])
+    assert np.abs(gradient).max() < 5e-3 and loss(z) < loss(start) - 0.05
+
+
+def test_toxicity_recall_on_held_out_rows(spark):
+    """On the larger tables, since the smaller ones have seven such rows."""
+    large = DATA.replace("sf0.01", "sf0.1")
+    if not os.path.isdir(large):
+        pytest.skip("no tables here")
+    docs, labels = (spark.read.parquet(f"{large}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.grade_toxicity(docs, labels.where("doc_id % 4 <> 2")).join(labels.withColumnRenamed("toxic", "y"), "doc_id").where("doc_id % 4 = 2").collect()
+    assert sum(r.toxic for r in rows if r.y) / max(1, sum(r.y for r in rows)) > 0.85
