@@ -120,8 +120,10 @@ def agreement_verified(df: DataFrame, load: Callable[[], reading.Reader] = readi
 
     Adds verifier_answer, verifier_score, answer_match_f1, evidence_label, evidence_reason, verifier_model.
     """
-    second = reading.native_answers(df.select(key, question, context), load, spec, key=key, question=question, context=context)
-    second = second.select(F.col(key).alias("_key"), F.col("prediction_text").alias("verifier_answer"), F.col("pipeline_score").alias("verifier_score"))
-    out = df.join(second, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    # the second answers are read beside the rows and not joined to them, so what the rows come from isn't worked out twice
+    own = {c: f"_own_{c}" for c in ("prediction_text", "pipeline_score", "start", "end", "decision") if c in df.columns}
+    key, question, context = (own.get(c, c) for c in (key, question, context))
+    out = reading.native_answers(df.drop("verifier_answer", "verifier_score").withColumnsRenamed(own), load, spec, key=key, question=question, context=context).drop("start", "end", "decision")
+    out = out.withColumnsRenamed({"prediction_text": "verifier_answer", "pipeline_score": "verifier_score"}).withColumnsRenamed({b: a for a, b in own.items()})
     out = out.withColumn("_x", labels.qa_agreement(F.col(answer), F.col("verifier_answer"), F.col("verifier_score"), **thresholds))
     return out.withColumns({"answer_match_f1": F.col("_x.f1"), "evidence_label": F.col("_x.label"), "evidence_reason": F.col("_x.reason"), "verifier_model": F.lit(model)}).drop("_x")
