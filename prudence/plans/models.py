@@ -34,7 +34,7 @@ def read(with_null: bool, spec: reading.Spec = reading.Spec()) -> str:
 
 @query(f"WITH {S.WITH_Q}, {read(False)} SELECT row_idx, place::INTEGER AS place, w::INTEGER AS \"window\", i::INTEGER AS first, j::INTEGER AS last, a::INTEGER AS start, b::INTEGER AS \"end\", p AS log_score FROM best")
 def qa_n_best(spark, sf_dir):
-    return reading.n_best(reading.with_spans(reading.windows(S.questions(spark, sf_dir)), reading.lexical_reader))
+    return reading.best_spans(S.questions(spark, sf_dir), reading.lexical_reader)
 
 
 @query(f"""WITH {S.WITH_Q}, {read(False)} SELECT q.row_idx, substring(context, a::INTEGER + 1, (b - a)::INTEGER) AS prediction_text, round(exp(p), 9) AS pipeline_score, a::INTEGER AS start, b::INTEGER AS "end", 'ANSWER' AS decision FROM q LEFT JOIN best ON best.row_idx = q.row_idx AND place = 1""")
