@@ -54,11 +54,12 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def with_entailment(df: DataFrame, load: Callable[[], EntailmentModel | Callable], premise: str, hypothesis: str, names: tuple[str, str, str], exact: bool = False, batch: int = 32) -> DataFrame:
+def with_entailment(df: DataFrame, load: Callable[[], EntailmentModel | Callable], premise: str, hypothesis: str, names: tuple[str, str, str], exact: bool = False, batch: int = 32, where: str | None = None) -> DataFrame:
     """Add the probabilities of entailment, neutrality and contradiction under the given names; columns of those names are replaced.
 
     The model is loaded once a worker and its labels are resolved before the first row. A plain function in a model's
-    place gives the three probabilities of each pair in this order.
+    place gives the three probabilities of each pair in this order. Where a flag is named, the model sees only rows
+    whose flag is true; the others' probabilities are 0.
     """
     kept = df.drop(*names)
     columns = kept.columns
@@ -71,10 +72,11 @@ def with_entailment(df: DataFrame, load: Callable[[], EntailmentModel | Callable
         else:
             told = lambda p, c: np.asarray(model(p, c), float)
         for rows in batches:
-            premises, claims = rows[premise].tolist(), rows[hypothesis].tolist()
+            asked = np.flatnonzero(rows[where].eq(True)) if where else np.arange(len(rows))
+            premises, claims = (rows[c].iloc[asked].tolist() for c in (premise, hypothesis))
             found = np.zeros((len(rows), len(CLASSES)))
             for some in by_length([len(p) + len(c) for p, c in zip(premises, claims, strict=True)], batch):
-                found[some] = told([premises[i] for i in some], [claims[i] for i in some])
+                found[asked[some]] = told([premises[i] for i in some], [claims[i] for i in some])
             yield pd.concat([rows[columns], pd.DataFrame(found, columns=list(names), index=rows.index)], axis=1)
 
     return kept.mapInPandas(run, ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes), *(f"`{n}` double" for n in names)]))

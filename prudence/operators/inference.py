@@ -62,12 +62,12 @@ def question_verified(df: DataFrame, load: Callable[[], EntailmentModel] = lexic
         some = some.withColumn("qa_claim", T.normalise_claim(F.col("qa_claim")))
     else:
         some = some.withColumn("qa_claim", T.claim_template(F.col(question), F.col(answer)))
+    # a filter by validity would work the checks out once more on each side of it
     checked = labels.validated_claims(some, question, answer, "qa_claim").withColumn("_premise", T.clean_text(F.col(context)))
-    valid = with_entailment(checked.where("qa_claim_valid"), load, "_premise", "qa_claim", tuple(zero))
-    valid = valid.withColumn("qa_nli_label", labels.nli_label_v2(*(F.col(n) for n in zero)))
-    invalid = checked.where("NOT qa_claim_valid").withColumns(zero).withColumn("qa_nli_label", F.lit("INVALID_CLAIM"))
+    told = with_entailment(checked, load, "_premise", "qa_claim", tuple(zero), where="qa_claim_valid").drop("_premise")
+    told = told.withColumn("qa_nli_label", F.when(F.col("qa_claim_valid"), labels.nli_label_v2(*(F.col(n) for n in zero))).otherwise("INVALID_CLAIM"))
     none = df.where(empty).withColumns(zero).withColumn("qa_claim", F.lit(None).cast("string")).withColumn("qa_claim_valid", F.lit(False)).withColumn("qa_nli_label", F.lit("EMPTY_ANSWER"))
-    return valid.unionByName(invalid).drop("_premise").unionByName(none, allowMissingColumns=True)
+    return told.unionByName(none, allowMissingColumns=True)
 
 
 def premise(evidence: str = "evidence_text", context: str = "context"):

@@ -70,3 +70,23 @@ def test_second_reader_keeps_the_rows_own_columns(spark):
     out = inference.agreement_verified(df, lambda: noise, SMALL)
     assert out.columns == [*df.columns, "verifier_answer", "verifier_score", "answer_match_f1", "evidence_label", "evidence_reason", "verifier_model"]
     assert tuple(out.select(*df.columns).first()) == tuple(df.first())
+
+
+def test_claims_are_checked_once_and_only_valid_ones_are_scored(spark):
+    df = spark.createDataFrame([(1, "Who developed relativity?", "c", "Albert Einstein"), (2, "Who?", "c", "x"), (3, "Who?", "c", " ")], "row_idx long, question string, context string, prediction_text string")
+    claims = {"x": "no", "Albert Einstein": "Albert Einstein developed relativity."}
+
+    def generate():
+        return lambda prompts: [(next(c for a, c in claims.items() if p.endswith(a.lower())),) for p in prompts]
+
+    def load():
+        def told(premises, hypotheses):
+            assert all(h == "Albert Einstein developed relativity." for h in hypotheses)
+            return [(0.9, 0.1, 0.0)] * len(hypotheses)
+
+        return told
+
+    out = inference.question_verified(df, load, generate)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("NUMBER_NOT_PRESERVED") == 1
+    got = {r.row_idx: (r.qa_claim_valid, r.qa_nli_label, r.qa_entailment_probability) for r in out.collect()}
+    assert got == {1: (True, "ENTAILMENT", 0.9), 2: (False, "INVALID_CLAIM", 0.0), 3: (False, "EMPTY_ANSWER", 0.0)}
