@@ -2,6 +2,7 @@
 
 import random
 import sys
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -65,6 +66,33 @@ def test_few_windows_are_held_however_they_come(spark, monkeypatch):
     assert reading.read_spans(df, load, SMALL, batch=100).count() == 30
 
 
+class Watched:
+    """A reader that writes down the most bytes that its task's Python held while it was there."""
+
+    def __init__(self, path):
+        self.path = path
+        tracemalloc.start()
+
+    def __call__(self, asked, tokens):
+        return noise(asked, tokens)
+
+    def __del__(self):
+        with open(self.path, "w") as f:
+            f.write(str(tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+
+
+def test_a_task_holds_no_more_for_more_contexts(spark, tmp_path):
+    def held(n):
+        path = str(tmp_path / str(n))
+        df = spark.range(0, n, 1, 1).selectExpr("id AS row_idx", "'who is it' AS question", "array_join(transform(sequence(1, 100), i -> concat('w', id * 100 + i)), ' ') AS context")
+        assert reading.forced_answers(df, lambda: Watched(path)).where("prediction_text IS NOT NULL").count() == n
+        with open(path) as f:
+            return int(f.read())
+
+    assert held(1200) < 1.5 * held(300)
+
+
 def test_second_reader_keeps_the_rows_own_columns(spark):
     df = spark.createDataFrame([(1, "who", "a b", "a", 5, 6, 0.5, "ANSWER")], "row_idx long, question string, context string, prediction_text string, start int, end int, pipeline_score double, decision string")
     out = inference.agreement_verified(df, lambda: noise, SMALL)
